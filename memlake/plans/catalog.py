@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.plans import recall_queries, rule_queries, source_queries  # noqa: F401  (registration)
+from memlake.plans import memory_queries, recall_queries, rule_queries, source_queries  # noqa: F401  (registration)
 from memlake.plans.registry import ORACLES, QUERIES
 
 
