@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 @arrow_udf(StringType())
 def nfc_arrow(text: pa.Array) -> pa.Array:
     """NFC form of each text."""
-    return pc.utf8_normalize(text, form="NFC")
+    # Arrow's own utf8_normalize gave decomposed text in the installed version
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
 @arrow_udf(ArrayType(LongType()))

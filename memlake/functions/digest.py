@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.skew import salted_join
 from memlake.functions.text import nfc
 
 # fixed values: digest profile names
@@ -74,39 +75,30 @@ def row_fingerprint(*cols: Column | str) -> Column:
 
 
 def set_digest(
-    df: DataFrame, keys: list[str], member: Column, chunk: int = 4096, name: str = "set_digest"
+    df: DataFrame, keys: list[str], member: Column, chunk: int = 4096, name: str = "set_digest",
+    order: Column | None = None,
 ) -> DataFrame:
     """Digest of the set of ``member`` texts per key, for groups of any size.
 
-    A group of at most ``chunk`` members gets the digest of the JSON array of its sorted
-    members. A larger one is split by a hash of the member into ``ceil(n / chunk)`` parts;
-    the result then is the digest of the part digests in order, so no task ever holds
-    more than about ``chunk`` members of a group.
+    A group of at most ``chunk`` members gets the digest of its JSON array, sorted by
+    ``order`` (the member itself by default). A larger one is split by a hash of the
+    member into ``ceil(n / chunk)`` parts; the result then is the digest of the part
+    digests in order, so no task ever holds more than about ``chunk`` members of a group.
     """
-    m = df.select(*keys, member.alias("_m")).distinct()
+    m = df.select(*keys, (member if order is None else order).alias("_o"), member.alias("_m")).distinct()
     sizes = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_parts", F.ceil(F.col("_n") / F.lit(chunk)))
-    part = F.pmod(F.conv(F.substring(F.sha2("_m", 256), 1, 12), 16, 10).cast("long"), "_parts")
-    salt = F.pmod(F.xxhash64("_m"), F.lit(16))
-    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    part = F.pmod(F.conv(F.substring(F.sha2("_m", 256), 1, 12), 16, 10).cast("long"), F.col("_parts"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("_o", "_m"))), lambda x: x["_m"])
     parts = (
-        m.withColumn("_salt", salt)
-        .join(salted, [*keys, "_salt"])
+        salted_join(m, sizes, keys, ["_m"])
         .groupBy(*keys, "_n", part.alias("_part"))
-        .agg(F.sort_array(F.collect_list("_m")).alias("_ms"))
-        .withColumn(
-            "_d",
-            F.sha2(F.concat(F.lit("["), F.array_join("_ms", ","), F.lit("]")), 256),
-        )
+        .agg(texts.alias("_ms"))
+        .withColumn("_d", F.sha2(F.concat(F.lit("["), F.array_join("_ms", ","), F.lit("]")), 256))
     )
     whole = F.sort_array(F.collect_list(F.struct("_part", "_d")))
     joined = F.array_join(F.transform(whole, lambda p: p["_d"]), ",")
-    return (
-        parts.groupBy(*keys)
-        .agg(
-            F.first("_n").alias("n_members"),
-            F.when(F.count(F.lit(1)) == 1, F.first("_d"))
-            .otherwise(F.sha2(joined, 256))
-            .alias(name),
-        )
+    return parts.groupBy(*keys).agg(
+        F.first("_n").alias("n_members"),
+        F.when(F.count(F.lit(1)) == 1, F.first("_d")).otherwise(F.sha2(joined, 256)).alias(name),
     )

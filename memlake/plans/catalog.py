@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from memlake.plans import memory_queries, recall_queries, rule_queries, source_queries  # noqa: F401  (registration)
+from memlake.plans import (  # noqa: F401  (registration)
+    context_queries,
+    deletion_queries,
+    memory_queries,
+    recall_queries,
+    rule_queries,
+    source_queries,
+)
 from memlake.plans.registry import ORACLES, QUERIES
 
 

@@ -41,6 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Folder all executors share: the checkpoint folder of this application."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the plan's growth."""
     ensure_checkpoint_dir(df.sparkSession)

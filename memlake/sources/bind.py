@@ -1,22 +1,55 @@
 """Driver tables read as the canonical tables of the engine.
 
-Every function takes the folder of the Parquet tables and returns one lazily built
-DataFrame, so Catalyst prunes the columns a query does not use.
+Every function takes the folder of the Parquet tables and returns one DataFrame. The
+tables that carry version numbers or links are written once per application to the
+shared work folder, as an import job does, and read from there with the columns and
+filters a query needs; the rest is derived on the fly.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import exact_digest
 from memlake.functions.ranking import ordered_sequence
-from memlake.sources.segment import fragment_id, segment_lines
+from memlake.session import work_folder
+from memlake.sources.segment import segment_lines
 
 AS_OF = "2024-01-15 00:00:00"
 RECORD_TYPES = ["click", "purchase", "signup"]
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write the table on first use in this application, then read the files."""
+    @functools.wraps(build)
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        key = (app, path, build.__name__)
+        if key not in _WRITTEN:
+            folder = hashlib.sha256(path.encode()).hexdigest()[:16]
+            where = f"{work_folder(spark)}/canonical/{app}/{folder}/{build.__name__}"
+            build(spark, path).write.mode("overwrite").parquet(where)
+            _WRITTEN[key] = where
+        return spark.read.parquet(_WRITTEN[key])
+
+    return read
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Make the next use of each table of ``path`` write it again."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _WRITTEN if k[:2] == (app, path)]:
+        del _WRITTEN[key]
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
@@ -34,6 +67,7 @@ def source_key(doc_id: Column) -> Column:
     return padded("src-", doc_id, 8)
 
 
+@stored
 def sources(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents")
     labels = table(spark, path, "labels")
@@ -109,6 +143,7 @@ def _memory_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@stored
 def _record_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = _memory_rows(spark, path).filter(F.col("event_type").isin(*RECORD_TYPES))
     rows = rows.withColumns(
@@ -155,6 +190,7 @@ def _memory_type() -> Column:
     return F.create_map(*[F.lit(x) for pair in MEMORY_TYPE.items() for x in pair])[F.col("event_type")]
 
 
+@stored
 def proposals(spark: SparkSession, path: str) -> DataFrame:
     """One proposal per event; those of later record versions supersede the one before."""
     plain = _memory_rows(spark, path).filter(~F.col("event_type").isin(*RECORD_TYPES))
@@ -184,6 +220,7 @@ def proposals(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@stored
 def decisions(spark: SparkSession, path: str) -> DataFrame:
     """Accept, reject, defer, or defer then accept, by the type of the event."""
     rows = _memory_rows(spark, path)
@@ -211,6 +248,7 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@stored
 def records(spark: SparkSession, path: str) -> DataFrame:
     rows = _record_rows(spark, path).withColumns(_importance())
     step = F.when(F.col("event_type") == "signup", 2).otherwise(1)
@@ -244,6 +282,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@stored
 def state_events(spark: SparkSession, path: str) -> DataFrame:
     """A confirmed event per record and a superseded one per record with a successor."""
     rows = _record_rows(spark, path)
