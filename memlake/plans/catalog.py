@@ -5,6 +5,7 @@ from __future__ import annotations
 from memlake.plans import (  # noqa: F401  (registration)
     context_queries,
     deletion_queries,
+    maintenance_queries,
     memory_queries,
     recall_queries,
     rule_queries,
