@@ -20,10 +20,10 @@ def parse_timestamp(text: Column) -> Column:
         return F.regexp_extract(text, _RFC3339, i)
 
     day = F.try_to_date(part(1), "yyyy-MM-dd")
-    hour, minute, second = (part(i).cast("int") for i in (2, 3, 4))
+    hour, minute, second = (part(i).try_cast("int") for i in (2, 3, 4))
     zone = part(6)
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    zh, zm = F.substring(zone, 2, 2).cast("int"), F.substring(zone, 5, 2).cast("int")
+    zh, zm = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
     offset = F.when(F.upper(zone) == "Z", 0).otherwise(sign * (zh * 3600 + zm * 60))
     leap = (second == 60).cast("int")
     epoch = (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import context
+from memlake.functions.digest import nfc_digest
+from memlake.operators import context, versions
 from memlake.plans.base_sql import cte, with_ctes
 from memlake.plans.recall_queries import batch_hits, rows
 from memlake.plans.registry import query
@@ -107,9 +108,6 @@ SELECT DISTINCT 'V21' AS rule_id, 'ContextPack' AS object_type, query_id AS obje
   UNION ALL SELECT query_id, 'CitationMismatch' FROM y WHERE (query_id, ordinal) NOT IN (SELECT (query_id, ordinal) FROM x))""",
     x=_BAD_ITEMS, y=_BAD_CITES))
 def v21_context_packs(spark, path):
-    from memlake.functions.digest import nfc_digest
-    from memlake.operators import versions
-
     items, cited = faulty(spark, path)
     qs = bind.recall_queries(spark, path, versions.tips(bind.sources(spark, path)))
     return context.pack_rows(items, cited, qs.withColumn("task_digest", nfc_digest(F.col("query"))))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from memlake.functions import digest, temporal
 from memlake.functions.text import nfc, variants
-from memlake.operators import capture, chains, deletion, maintain, memory, metrics, rules, versions
-from memlake.operators.recall import recall_batch
+from memlake.operators import capture, chains, context, deletion, maintain, memory, metrics, rules, versions
+from memlake.operators.recall import recall_batch, recall_rows
+from memlake.plans import context_queries as cq
 from memlake.plans import deletion_queries as dq
+from memlake.plans import faults
 from memlake.plans.base_sql import CTES, cte, tokens_sql, with_ctes
 from memlake.plans.memory_queries import found_conflicts, variants_sql
 from memlake.plans.recall_queries import PERSONAL, batch_hits, rows, tip_fragments
@@ -159,8 +161,6 @@ def b4_recall_upkeep(spark, path):
     old_fragments = tip_fragments(spark, path).select("fragment_id", "source_id")
     new = next_versions(spark, path)
     r = bind.records(spark, path)
-    from memlake.operators.recall import recall_rows
-
     fresh = recall_rows(segment_lines(new).withColumn("captured_at", F.col("created_at")), r.filter(F.lit(False)))
     ended = r.filter("confidence >= 0.5").select("memory_id")
     touched = new.select(F.get("supersedes_source_ids", F.lit(0)).alias("source_id"))
@@ -410,8 +410,6 @@ SELECT metric_id, CAST(numerator AS BIGINT) AS numerator, CAST(denominator AS BI
   UNION ALL SELECT 'false_complete_deletion_count', 0, 1, 0, 1
   UNION ALL SELECT 'never_measured', NULL, NULL, 1, 1)"""))
 def e12_gates(spark, path):
-    from memlake.plans import faults
-
     p, r = bind.proposals(spark, path), bind.records(spark, path)
     bad = faults.records(spark, path)
     none = p.filter(F.lit(False))
@@ -440,10 +438,7 @@ def e12_gates(spark, path):
 @query("e1_citation_rate", with_ctes(["cites"], """
 SELECT 'citation_resolve_rate' AS metric_id, count(*) FILTER (f_state = 'active') AS numerator, count(*) AS denominator FROM cites"""))
 def e1_citation_rate(spark, path):
-    from memlake.operators import context
-    from memlake.plans.context_queries import parts
-
-    items, cited = parts(spark, path)
+    items, cited = cq.parts(spark, path)
     cited = cut_lineage(cited)
     found = context.pack_resolution(items, cited, bind.records(spark, path), bind.fragments(spark, path), bind.sources(spark, path))
     return metrics.citation_resolve_rate(cited, found.filter("object_type = 'Citation'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions.governance import eligible
-from memlake.functions.text import match_expression
+from memlake.functions.text import match_expression, tokens
 from memlake.operators import recall, versions
 from memlake.plans.base_sql import AS_OF, ELIGIBLE, tokens_sql, with_ctes
 from memlake.plans.registry import query
@@ -20,7 +20,6 @@ def tip_fragments(spark, path):
     s = bind.sources(spark, path)
     t = versions.tips(s).select("source_id")
     at_tip = versions.active(s).join(t, "source_id", "left_semi")
-    about = ["source_id", "captured_at"]
     frags = segment_lines(at_tip)
     # created_at of a fragment is the capture time of its source in this binding
     return frags.withColumn("captured_at", F.col("created_at"))
@@ -76,8 +75,6 @@ def q3_token_counts(spark, path):
 @query("a14_recall_statistics", with_ctes(["rows_"], """
 SELECT count(*) AS n_rows, round(avg(len(toks)), 6) AS avg_length, CAST(sum(len(toks)) AS BIGINT) AS n_tokens FROM rows_"""))
 def a14_recall_statistics(spark, path):
-    from memlake.functions.text import tokens
-
     return rows(spark, path).select(F.size(tokens(F.col("content"))).alias("dl")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("dl"), 6).alias("avg_length"), F.sum("dl").alias("n_tokens")
     )

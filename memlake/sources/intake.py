@@ -15,7 +15,11 @@ MAX_BYTES = 8 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files of a folder. Bodies over the size limit are not read."""
+    """(accepted, rejected) files of a folder. Bodies over the size limit are not read.
+
+    The file source gives no row for a file of zero bytes, so such a file is in neither
+    frame; :func:`classify` rejects an empty body that comes as a row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     small = files.filter(F.col("length") <= MAX_BYTES).select(name.alias("name"), "content", "path")
