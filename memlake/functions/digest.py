@@ -64,6 +64,11 @@ def digest_by_profile(profile: Column, text: Column) -> Column:
     )
 
 
+def stable_id(scenario: Column, kind: Column, key: Column) -> Column:
+    """Deterministic id of an object by scenario, kind and logical key."""
+    return F.concat_ws(":", F.lit("urn"), F.lit("memlake"), F.lower(scenario), F.lower(kind), key)
+
+
 def is_digest(value: Column) -> Column:
     return F.coalesce(value.rlike(HEX64), F.lit(False))
 

@@ -29,9 +29,15 @@ FOLD_FROM, FOLD_TO = _fold_table()
 MARKS = r"[\x{0300}-\x{0331}]"
 
 
+def is_ascii(text: Column) -> Column:
+    """One byte per character: two counters, no pattern matching."""
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without single diacritics."""
-    return F.regexp_replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), MARKS, "")
+    """Lower case without single diacritics; plain ASCII skips the letter tables."""
+    marked = F.regexp_replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), MARKS, "")
+    return F.when(is_ascii(text), F.lower(text)).otherwise(marked)
 
 
 def tokens(text: Column) -> Column:
@@ -155,7 +161,7 @@ def variants(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """NFC form. ASCII rows, which are NFC already, never leave the JVM."""
-    return F.coalesce(nfc_arrow(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), text)
+    return F.coalesce(nfc_arrow(F.when(~is_ascii(text), text)), text)
 
 
 def byte_slice(content: Column, start: Column, end: Column) -> Column:

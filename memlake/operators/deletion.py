@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint, set_digest
 from memlake.functions.ranking import ordered_sequence
+from memlake.functions.skew import hot_key_join
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
+from memlake.session import cut_lineage
 
 # fixed values: component key, component type, required action, in plan order
 PROFILE = [
@@ -59,7 +61,9 @@ def linked_records(requests: DataFrame, sources: DataFrame, fragments: DataFrame
     )
     evidence = fragments.filter("deletion_state = 'active'").select("fragment_id", "source_id").join(hit, "source_id")
     refs = records.filter("deletion_state = 'active'").select("memory_id", "namespace_id", F.explode("source_fragment_refs").alias("fragment_id"))
-    return refs.join(evidence, ["fragment_id", "namespace_id"]).select(REQUEST, "memory_id").distinct()
+    # one fragment may be the evidence of a large share of all records
+    found = hot_key_join(refs, evidence.withColumnRenamed("namespace_id", "e_ns"), "fragment_id", ["memory_id"])
+    return found.filter("namespace_id = e_ns").select(REQUEST, "memory_id").distinct()
 
 
 def targets(requests: DataFrame, sources: DataFrame, fragments: DataFrame, records: DataFrame) -> DataFrame:
@@ -117,7 +121,8 @@ def execution_closure(
     mem = found.filter("object_type = 'MemoryRecord'").select(REQUEST, F.col("object_id").alias("memory_id"))
     frag = fragments.filter("deletion_state = 'active'").select("fragment_id", "source_id").join(src, "source_id").select(REQUEST, "fragment_id")
     origin = records.filter("deletion_state = 'active'").select("memory_id", F.col("origin_proposal_id").alias("proposal_id")).join(mem, "memory_id")
-    using = proposals.filter("deletion_state = 'active'").select("proposal_id", F.explode("source_fragment_refs").alias("fragment_id")).join(frag, "fragment_id")
+    refs = proposals.filter("deletion_state = 'active'").select("proposal_id", F.explode("source_fragment_refs").alias("fragment_id"))
+    using = hot_key_join(refs, frag, "fragment_id", ["proposal_id"])
     prop = origin.select(REQUEST, "proposal_id").unionByName(using.select(REQUEST, "proposal_id")).distinct()
     dec = decisions.select("decision_id", "proposal_id").join(prop, "proposal_id").select(REQUEST, "decision_id")
     evt = events.select("event_id", "memory_id").join(mem, "memory_id").select(REQUEST, "event_id")
@@ -378,6 +383,26 @@ def completeness_gate(closure: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
+def delete_lineages(
+    tables: dict[str, DataFrame], requests: DataFrame, checked_at: Column, basis: str, failures: DataFrame | None = None
+) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Delete whole lineages: plan, close to recall, execute, evidence.
+
+    Returns the tables afterwards, the component results and the evidence. Frames that
+    several steps read are written once.
+    """
+    found = cut_lineage(targets(requests, tables["sources"], tables["fragments"], tables["records"]))
+    closure = cut_lineage(execution_closure(
+        found, tables["fragments"], tables["proposals"], tables["decisions"], tables["records"], tables["events"]
+    ))
+    closed = close_to_recall(tables, closure)
+    planned = cut_lineage(plan(found))
+    if failures is None:
+        failures = planned.select(REQUEST, "component_key", F.lit("x").alias("error_code"), F.lit(True).alias("retryable")).filter(F.lit(False))
+    results = cut_lineage(component_results(planned, affected(closed, closure), failures, checked_at, basis, F.lit(1)))
+    return apply_results(closed, closure, results), results, evidence(results)
+
+
 # --- rules -----------------------------------------------------------------------------
 
 

@@ -384,3 +384,45 @@ def v27_evidence(spark, path):
     asked = requests(spark, path).withColumn("requested_at", bind.ntz("2024-02-01 00:00:00"))
     kept = results.filter("not (delete_request_id like '%-src4-%' and component_key = 'context-cache')")
     return deletion.evidence_problems(claimed, planned, kept, asked)
+
+
+@query("a4_result_counts", with_ctes(["res"], """
+SELECT delete_request_id, 1 AS attempt_ordinal, count(*) FILTER (component_key <> 'minimal-audit') AS n_before_audit, bool_and(status = 'succeeded') AS all_succeeded FROM res GROUP BY delete_request_id"""))
+def a4_result_counts(spark, path):
+    results = first_attempt(spark, path)[4]
+    return results.groupBy(REQUEST, "attempt_ordinal").agg(
+        F.count_if(F.col("component_key") != "minimal-audit").alias("n_before_audit"),
+        F.bool_and(F.col("status") == "succeeded").alias("all_succeeded"),
+    )
+
+
+@query("a11_affected_counts", with_ctes(["clos"], """
+SELECT delete_request_id, component_type, count(*) AS n FROM clos WHERE component_type NOT IN ('full_text_index', 'minimal_audit') GROUP BY ALL"""))
+def a11_affected_counts(spark, path):
+    found = cut_lineage(found_targets(spark, path))
+    closure = cut_lineage(closure_of(spark, path, found))
+    return deletion.affected(deletion.close_to_recall(tables(spark, path), closure), closure)
+
+
+@query("d11_recall_after", with_ctes(["rows_", "clos"], """
+SELECT object_kind, object_id FROM rows_ WHERE object_id NOT IN (SELECT object_id FROM clos WHERE component_type = 'full_text_index')"""))
+def d11_recall_after(spark, path):
+    return after_first(spark, path)["recall_rows"].select("object_kind", "object_id")
+
+
+@query("d15_delete_lineages", with_ctes(["res"], """
+SELECT 'evi-' || delete_request_id || '-1' AS evidence_id, 'completed' AS overall_status, count(*) AS n_succeeded FROM res GROUP BY delete_request_id"""))
+def d15_delete_lineages(spark, path):
+    _, _, found = deletion.delete_lineages(tables(spark, path), requests(spark, path), bind.ntz(CHECKED), BASIS)
+    return found.select("evidence_id", "overall_status", "n_succeeded")
+
+
+@query("s4_deletion_scans", with_ctes(["res"], """
+SELECT delete_request_id, string_agg(component_key || '=' || outcome, ',' ORDER BY ordinal) AS components FROM res GROUP BY delete_request_id"""))
+def s4_deletion_scans(spark, path):
+    """Each request rebuilt with its ten components as one ordered list."""
+    rows_ = first_attempt(spark, path)[4].groupBy(REQUEST).agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", "component_key", "outcome"))).alias("c")
+    )
+    text = F.transform("c", lambda x: F.concat(x["component_key"], F.lit("="), x["outcome"]))
+    return rows_.select(REQUEST, F.array_join(text, ",").alias("components"))

@@ -315,6 +315,22 @@ def u3_json_digests(spark, path):
     return e.select("event_id", digest.json_digest(F.col("props")).alias("json_digest"), F.size(digest.json_flags(F.col("props"))).alias("n_flags"))
 
 
+@query("u4_profile_digests", """
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(nfc_normalize(text)) END AS digest FROM conversations""")
+def u4_profile_digests(spark, path):
+    c = bind.table(spark, path, "conversations")
+    profiles = F.array(F.lit("exact-bytes-v1"), F.lit("nfc-text-v1"), F.lit("no-such-profile"))
+    profile = F.element_at(profiles, (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+    return c.select("conv_id", "turn", digest.digest_by_profile(profile, F.col("text")).alias("digest"))
+
+
+@query("u9_stable_ids", """
+SELECT 'urn:memlake:' || lower(lang) || ':sourceartifact:' || CAST(doc_id AS VARCHAR) AS stable_id FROM documents""")
+def u9_stable_ids(spark, path):
+    d = bind.table(spark, path, "documents")
+    return d.select(digest.stable_id(F.col("lang"), F.lit("SourceArtifact"), F.col("doc_id").cast("string")).alias("stable_id"))
+
+
 @query("u5_timestamps", """
 SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s, rtrim(lpad(CAST(CAST(epoch_us(ts) % 1000000 AS BIGINT) AS VARCHAR), 6, '0'), '0') AS frac FROM events""")
 def u5_timestamps(spark, path):

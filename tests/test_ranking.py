@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from memlake.functions.ranking import global_position, ordered_sequence, top_k_per_key
-from memlake.functions.skew import salted_join
+from memlake.functions.skew import hot_key_join, salted_join
 
 
 def rows(n=400):
@@ -53,3 +53,13 @@ def test_salted_join_equals_a_join(spark):
         a = sorted(map(str, salted_join(big, small, ["k"], ["i"], how).select("i").collect()))
         b = sorted(map(str, big.join(small, "k", how).select("i").collect()))
         assert a == b
+
+
+def test_hot_key_join_equals_a_join(spark):
+    big = spark.createDataFrame(rows(), "k string, t int, i int")
+    small = spark.createDataFrame([("hot", "x"), ("hot", "w"), ("k3", "y"), ("none", "z")], "k string, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).select("i", "v").collect()))
+        for hot_rows in (10, 1000):
+            got = hot_key_join(big, small, "k", ["i"], how, salts=4, hot_rows=hot_rows)
+            assert sorted(map(str, got.select("i", "v").collect())) == want
