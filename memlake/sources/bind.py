@@ -34,8 +34,9 @@ def stored(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
         app = spark.sparkContext.applicationId
         key = (app, path, build.__name__)
         if key not in _WRITTEN:
+            name = build.__name__.lstrip("_")  # a leading underscore hides a path
             folder = hashlib.sha256(path.encode()).hexdigest()[:16]
-            where = f"{work_folder(spark)}/canonical/{app}/{folder}/{build.__name__}"
+            where = f"{work_folder(spark)}/canonical/{app}/{folder}/{name}"
             build(spark, path).write.mode("overwrite").parquet(where)
             _WRITTEN[key] = where
         return spark.read.parquet(_WRITTEN[key])
