@@ -38,3 +38,10 @@ def op9_mixing(spark, sf_dir):
     from memlake.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op1_quality_model(spark, sf_dir):
+    from memlake.llm.quality_model import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
