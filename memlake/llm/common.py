@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.session import cut_lineage
+from memlake.session import cut_lineage, work_folder
 
 #: A word is a maximal run of characters other than space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +58,21 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         labels = step.select("id", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component")
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (narrow rows) marked for a broadcast if it is counted to hold few rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the folder all executors share, and read again."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what finished jobs left: shuffle files go when nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

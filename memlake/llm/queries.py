@@ -45,3 +45,10 @@ def op1_quality_model(spark, sf_dir):
     from memlake.llm.quality_model import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_ngram_join(spark, sf_dir):
+    from memlake.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
