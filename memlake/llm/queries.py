@@ -52,3 +52,10 @@ def op3_ngram_join(spark, sf_dir):
     from memlake.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@_query
+def op10_pii(spark, sf_dir):
+    from memlake.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
