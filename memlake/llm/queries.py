@@ -59,3 +59,10 @@ def op10_pii(spark, sf_dir):
     from memlake.llm.pii import digest, find
 
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_secrets_scan(spark, sf_dir):
+    from memlake.llm.secrets_scan import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
