@@ -66,3 +66,10 @@ def op4_secrets_scan(spark, sf_dir):
     from memlake.llm.secrets_scan import digest, find
 
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op6_html_main(spark, sf_dir):
+    from memlake.llm.html_main import extract
+
+    return extract(table(spark, sf_dir, "pages"))
