@@ -73,3 +73,10 @@ def op6_html_main(spark, sf_dir):
     from memlake.llm.html_main import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_vector_search(spark, sf_dir):
+    from memlake.llm.vector_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
