@@ -80,3 +80,12 @@ def op8_vector_search(spark, sf_dir):
     from memlake.llm.vector_search import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_repeats(spark, sf_dir):
+    from memlake.llm.repeats import without_repeats
+
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")

@@ -56,8 +56,8 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of whole texts with about ``max_bytes`` bytes; null is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    """(first row, bytes, offsets) of runs of whole texts or binaries with about ``max_bytes`` bytes; null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
