@@ -14,6 +14,7 @@ centre. Lists are bundled or cut to groups of about ``GROUP`` vectors, queries t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,8 +82,12 @@ def build(rows: DataFrame, sample: int = SAMPLE, lists: int = LISTS) -> Index |
     return Index(np.array([r["v"] for r in picked]), float(facts[1]) ** 0.5, min(lists, max(1, facts[0] // PER_LIST), len(picked)))
 
 
-def scan(index: Index, q: np.ndarray, q_ids, q_lists, x: np.ndarray, x_ids, x_lists, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, vec_ids, scores) of the best candidates of every query in one group."""
+def scan(index: Index, q: np.ndarray, q_ids, q_lists, least, x: np.ndarray, x_ids, x_lists, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query number, vec_ids, scores) of the best candidates of every query in one group.
+
+    ``least`` are scores the queries have reached elsewhere (-inf: none); lower ones are
+    not looked for.
+    """
     a, b = index.rotated(q), index.rotated(x)
     dims = a.shape[1]
     wanted = np.zeros((len(q), len(index.centres)), bool)
@@ -93,7 +98,9 @@ def scan(index: Index, q: np.ndarray, q_ids, q_lists, x: np.ndarray, x_ids, x_li
     first = np.arange(min(len(x), 8 * k))
     far = ((a**2).sum(1)[:, None] + (b[first] ** 2).sum(1)[None, :]) - 2 * a @ b[first].T
     far[~open_[:, first]] = np.inf
-    limit = np.partition(far, k - 1, axis=1)[:, k - 1] if len(first) >= k else np.full(len(q), np.inf)
+    known = 2 * index.longest**2 - 2 * least
+    known = known + 1e-9 * (1 + np.abs(known))
+    limit = np.minimum(known, np.partition(far, k - 1, axis=1)[:, k - 1] if len(first) >= k else np.inf)
     partial, columns = np.zeros((len(q), len(x))), np.arange(len(x))
     for at in range(0, dims, COLUMNS):
         part = slice(at, min(dims, at + COLUMNS))
@@ -105,7 +112,7 @@ def scan(index: Index, q: np.ndarray, q_ids, q_lists, x: np.ndarray, x_ids, x_li
         kept = open_.any(0)
         if not kept.all():
             partial, open_, columns = partial[:, kept], open_[:, kept], columns[kept]
-    partial[~open_] = np.inf
+    partial[~open_ | (partial > known[:, None])] = np.inf
     for i in range(len(q)):
         row = partial[i]
         n = int(np.isfinite(row).sum())
@@ -135,7 +142,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PR
     if index is None:
         return spark.createDataFrame([], result).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     shared = spark.sparkContext.broadcast(index)
-    probes = max(1, round(probed * len(index.centres)))
+    probes = min(len(index.centres), math.ceil(probed * len(index.centres)) + 2)
 
     def assign(batches):
         for batch in batches:
@@ -170,13 +177,24 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, probed: float = PR
         if left.num_rows and right.num_rows:
             i, dims = shared.value, shared.value.dims
             q_ids, x_ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-            grid = scan(i, _matrix(left["q"].combine_chunks(), dims), q_ids, left["asked"].to_pylist(), _matrix(right["v"].combine_chunks(), dims), x_ids, right["list"].to_numpy(), k)
+            least = np.nan_to_num(left["least"].to_numpy(), nan=-np.inf)
+            grid = scan(i, _matrix(left["q"].combine_chunks(), dims), q_ids, left["asked"].to_pylist(), least, _matrix(right["v"].combine_chunks(), dims), x_ids, right["list"].to_numpy(), k)
             for n, vec_ids, scores in grid:
                 ids += [q_ids[n]] * len(vec_ids)
                 found[0].extend(vec_ids)
                 found[1].extend(scores)
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(found[0], pa.int64()), "score": pa.array(found[1], pa.float64())})
 
-    part = q.groupBy("q_bundle", "q_cut", "block").cogroup(x.groupBy("bundle", "cut", "in_block")).applyInArrow(run, result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scanned(queries: DataFrame) -> DataFrame:
+        return queries.groupBy("q_bundle", "q_cut", "block").cogroup(x.groupBy("bundle", "cut", "in_block")).applyInArrow(run, result)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # the group of the nearest list first: its k-th score is the limit in all other groups
+    home = F.col("q_bundle") == F.get(numbers(bundles), F.get("asked", F.lit(0)))
+    near = stored(ranked(scanned(q.filter(home).withColumn("least", F.lit(None).cast("double")))), "near")
+    reached = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    more = scanned(q.filter(~home).join(reached, "query_id", "left"))
+    return ranked(near.select("query_id", "vec_id", "score").union(more))
