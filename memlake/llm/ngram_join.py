@@ -13,7 +13,9 @@ random and independent of each other.
    must also share prefix tokens under the other orders before the sets are compared.
 4. Verified pairs are merged to components. Then the candidates between components that are
    left in each token's group are compared, every one of them, so that no link is lost;
-   pairs inside a component need no comparison and are never built.
+   pairs inside a component need no comparison and are never built. Small groups give
+   pairs; groups above ``CROWD`` are compared in place, block against block, and give only
+   the links that join components.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from memlake.session import cut_lineage
 
 HOT_ROWS = 1 << 20
 HOT_LEAST = 16
-SALTS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+CROWD = 32
+BLOCK = 2048
+SALTS = (0, 0x5851F42D4C957F2D)
+SIGNATURE = ["doc_id", "n", "digest", *[f"keys{i}" for i in range(len(SALTS))]]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -58,15 +63,32 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered_prefix(tokens: np.ndarray, size: int, hot: np.ndarray, order: int) -> np.ndarray:
-    """The first ``size`` tokens under an order: frequent ones last, then by a salted hash."""
-    if size >= len(tokens):
-        return tokens
+def order_keys(tokens: np.ndarray, hot: np.ndarray, order: int) -> np.ndarray:
+    """Places of tokens in a global order: frequent ones last, else by a salted hash."""
     key = (mixed(tokens ^ np.uint64(SALTS[order])) if order else tokens) >> np.uint64(1)
-    if len(hot):
+    if len(hot) and len(tokens):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         key = key | ((hot[at] == tokens).astype(np.uint64) << np.uint64(63))
-    return tokens[np.argpartition(key, size - 1)[:size]]
+    return key
+
+
+def ordered_prefix(tokens: np.ndarray, size: int, hot: np.ndarray, order: int) -> np.ndarray:
+    """The first ``size`` tokens under an order."""
+    if size >= len(tokens):
+        return tokens
+    return tokens[np.argpartition(order_keys(tokens, hot, order), size - 1)[:size]]
+
+
+def may_reach(n: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` tokens with these prefix keys can reach the similarity.
+
+    Up to the place where the shorter prefix ends, both sets are known; what they do not
+    share there is lost, and beyond it the smaller rest bounds what they can share.
+    """
+    end = min(x.max(), y.max())
+    x, y = x[x <= end], y[y <= end]
+    both = len(np.intersect1d(x, y))
+    return both > 0 and (100 + percent) * (both + min(n - len(x), m - len(y))) >= percent * (n + m)
 
 
 def _prefix_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -95,15 +117,14 @@ def _signatures(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
                 sets = list(shingle_sets(data, offsets, width))
                 low = LOWER[data].tobytes()
                 digests = [hashlib.blake2b(b" ".join(low[a:b].split()), digest_size=16).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
-                tokens = [ordered_prefix(s, prefix_size(len(s), percent), hot.value, 0).view(np.int64) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "n", "digest", "tokens"],
-                )
+                prefixes = []
+                for order in range(len(SALTS)):
+                    parts = [np.sort(order_keys(ordered_prefix(t, prefix_size(len(t), percent), hot.value, order), hot.value, order)).view(np.int64) for t in sets]
+                    ends = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
+                    prefixes.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *prefixes], names=SIGNATURE)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, " + ", ".join(f"{c} array<long>" for c in SIGNATURE[3:]))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -116,28 +137,116 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids), "id", "left_semi").mapInArrow(run, "id long, tokens binary")
 
 
-def similar(x: np.ndarray, y: np.ndarray, hot: np.ndarray, percent: int) -> bool:
-    """Exact test of two sorted sets, after the filters under all orders have agreed."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    for order in range(len(SALTS)):
-        a = ordered_prefix(x, prefix_size(len(x), percent), hot, order)
-        if not np.isin(a, ordered_prefix(y, prefix_size(len(y), percent), hot, order)).any():
-            return False
+def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the prefixes under every order allow."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = np.ones(batch.num_rows, bool)
+            for order in range(len(SALTS)):
+                x, y = batch.column(4 + 2 * order), batch.column(5 + 2 * order)
+                for i in np.flatnonzero(keep):
+                    keep[i] = may_reach(n[i], x[i].values.to_numpy().view(np.uint64), m[i], y[i].values.to_numpy().view(np.uint64), percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    of = lambda side, tag: signatures.select(F.col("doc_id").alias(side), F.col("n").alias(tag + "n"), *[F.col(c).alias(tag + c) for c in SIGNATURE[3:]])
+    both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.select("a", "b", "xn", "yn", *[t + c for c in SIGNATURE[3:] for t in "xy"]).mapInArrow(run, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact test of two sorted sets."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, hot, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose sets are similar; only texts of pairs that pass all filters are read again."""
+    pairs = stored(_filtered(pairs, signatures, percent).distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs, ids, width), "sets")
+
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), hot.value, percent) for x, y in zip(part.column(2), part.column(3), strict=True)]
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda a, b: sets.select(F.col("id").alias(a), F.col("tokens").alias(b))
-    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def crowd_pairs(n, place, component, keys, sets, left, right, token, percent: int):
+    """Pairs (i, j) of one token's group that are linked and join components, by blocks of rows.
+
+    ``left`` and ``right`` are the row numbers to hold against each other. A pair is met
+    here if ``token`` is its first common prefix key; its sets are compared exactly.
+    """
+    early = np.array([t for k in keys for t in k[k < token]], np.uint64)
+    columns, counts = np.unique(early, return_counts=True)
+    columns = columns[counts > 1]
+    shared = np.zeros((len(n), len(columns)), np.float32)
+    for i, k in enumerate(keys):
+        shared[i, np.flatnonzero(np.isin(columns, k[k < token]))] = 1
+    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(counts > 1) - 1
+    member, width = None, int((counts > 1).sum())
+    if width * len(n) <= 1 << 26:
+        member = np.zeros((len(n), width), np.float32)
+        rows = np.repeat(np.arange(len(n)), [len(s) for s in sets])
+        kept = counts[inverse] > 1
+        member[rows[kept], often[inverse[kept]]] = 1
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for at in range(0, len(left), 512):
+        block = left[at : at + 512]
+        mine = np.array([find(c) for c in component[block].tolist()])
+        theirs = np.array([find(c) for c in component[right].tolist()])
+        both = n[block][:, None] + n[right][None, :]
+        rest = np.minimum((n - place)[block][:, None], (n - place)[right][None, :])
+        open_ = (mine[:, None] != theirs[None, :]) & ((100 + percent) * rest >= percent * both)
+        if len(columns):
+            open_ &= shared[block] @ shared[right].T == 0
+        x, y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(x):
+            continue
+        if member is not None:
+            common = member[block[x]] @ member[right[y]].T
+            linked = np.argwhere(open_[np.ix_(x, y)] & ((100 + percent) * common >= percent * both[np.ix_(x, y)]))
+            pairs = ((block[x[i]], right[y[j]]) for i, j in linked)
+        else:
+            pairs = ((block[i], right[j]) for i, j in np.argwhere(open_) if similar(sets[block[i]], sets[right[j]], percent))
+        for i, j in pairs:
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                yield i, j
+
+
+def _crowd_links(held: DataFrame, signatures: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join components within large groups: each pair of blocks of a group is one small task."""
+    ids = held.select("id").distinct()
+    sets = stored(_sets(docs, ids, width).join(signatures.select(F.col("doc_id").alias("id"), F.col("keys0").alias("keys")), "id"), "crowd-sets")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = held.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "place", "component").join(sets, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        n, place, component, block, ids = (group[c].to_numpy() for c in ("n", "place", "component", "block", "id"))
+        keys = [np.array(k.as_py(), np.int64).view(np.uint64) for k in group["keys"]]
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in group["tokens"]]
+        token = np.array([group["token"][0].as_py()], np.int64).view(np.uint64)[0]
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        found = list(crowd_pairs(n, place, component, keys, sets, np.flatnonzero(block == lo), np.flatnonzero(block == hi), token, percent))
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
+
+    return rows.groupBy("token", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -154,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = signatures.filter("doc_id IS NOT NULL AND n > 0")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     copies = stored(known.select("doc_id", "digest").join(classes.filter("rep < last"), "digest").filter("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
-    rows = known.join(small_side(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.explode("tokens").alias("token"))
+    rows = known.join(small_side(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("keys0").alias("place", "token"))
     first = rows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
     members = stored(rows.join(first, "token"), "members")
     release(spark)
@@ -162,20 +271,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = members.groupBy("id").agg(F.max("n").alias("n"))
     star = members.filter("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
     star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").filter(fits(F.col("m"), F.col("n"))).select("a", "b")
-    sets = stored(_sets(docs, sizes.select("id"), width), "sets")
+    linked = cut_lineage(_verified(star, known, docs, width, percent))
     release(spark)
-    linked = cut_lineage(_verified(star, sets, hot, percent))
     labels = components(linked)
     # the rest: members of one token's group that are in different components
-    held = members.join(labels, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
+    held = members.join(labels, "id", "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("component"))
     each = held.groupBy("token", "component").agg(F.count("*").alias("c"))
-    mixed_groups = each.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.component").alias("top"))
-    held = stored(held.join(mixed_groups, "token"), "held")
-    few = held.filter("component <> top").select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    apart = (F.col("component") != F.col("other")) & fits(F.col("m"), F.col("n")) & ((F.col("component") == F.col("top")) | (F.col("id") < F.col("b")))
-    rest = held.join(few, "token").filter(apart).groupBy(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).agg(F.lit(1).alias("one"))
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(rest, sets, hot, percent))
+    apart = each.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size")).filter("k > 1")
+    held = stored(held.join(apart.select("token", "size", F.col("top.component").alias("top")), "token"), "held")
+    quiet = held.filter(F.col("size") <= CROWD)
+    few = quiet.filter("component <> top").select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"))
+    # a pair is met at its first common token, after which the smaller rest must be enough
+    enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= percent * (F.col("n") + F.col("m"))
+    new = (F.col("component") != F.col("other")) & enough & ((F.col("component") == F.col("top")) | (F.col("id") < F.col("b")))
+    rest = quiet.join(few, "token").filter(new).groupBy(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).agg(F.lit(1).alias("one"))
+    more = cut_lineage(_verified(rest.join(star, ["a", "b"], "left_anti"), known, docs, width, percent).union(_crowd_links(held.filter(F.col("size") > CROWD), known, docs, width, percent)))
     if more.limit(1).count():
         labels = components(linked.union(more))
     node = signatures.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
