@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.skew import salted_join
 from memlake.functions.text import nfc
 
 # fixed values: digest profile names
@@ -79,31 +78,15 @@ def row_fingerprint(*cols: Column | str) -> Column:
     return F.sha2(packed, 256)
 
 
-def set_digest(
-    df: DataFrame, keys: list[str], member: Column, chunk: int = 4096, name: str = "set_digest",
-    order: Column | None = None,
-) -> DataFrame:
-    """Digest of the set of ``member`` texts per key, for groups of any size.
+def set_digest(df: DataFrame, keys: list[str], member: Column, name: str = "set_digest") -> DataFrame:
+    """``n_members`` and the digest of the set of ``member`` texts per key.
 
-    A group of at most ``chunk`` members gets the digest of its JSON array, sorted by
-    ``order`` (the member itself by default). A larger one is split by a hash of the
-    member into ``ceil(n / chunk)`` parts; the result then is the digest of the part
-    digests in order, so no task ever holds more than about ``chunk`` members of a group.
+    One definition for every size: the SHA-256 of each distinct member is cut into eight
+    32-bit numbers; the digest is that of the member count and the eight sums, joined by
+    colons. Sums need no order and no group is gathered, so a key of any size is added up
+    in parts.
     """
-    m = df.select(*keys, (member if order is None else order).alias("_o"), member.alias("_m")).distinct()
-    sizes = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_parts", F.ceil(F.col("_n") / F.lit(chunk)))
-    part = F.pmod(F.conv(F.substring(F.sha2("_m", 256), 1, 12), 16, 10).cast("long"), F.col("_parts"))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("_o", "_m"))), lambda x: x["_m"])
-    parts = (
-        salted_join(m, sizes, keys, ["_m"])
-        .groupBy(*keys, "_n", part.alias("_part"))
-        .agg(texts.alias("_ms"))
-        .withColumn("_d", F.sha2(F.concat(F.lit("["), F.array_join("_ms", ","), F.lit("]")), 256))
-    )
-    whole = F.sort_array(F.collect_list(F.struct("_part", "_d")))
-    joined = F.array_join(F.transform(whole, lambda p: p["_d"]), ",")
-    return parts.groupBy(*keys).agg(
-        F.first("_n").alias("n_members"),
-        F.when(F.count(F.lit(1)) == 1, F.first("_d")).otherwise(F.sha2(joined, 256)).alias(name),
-    )
+    m = df.select(*keys, F.sha2(member, 256).alias("_h")).distinct()
+    limb = lambda i: F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))
+    sums = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"), *[limb(i).alias(f"_s{i}") for i in range(8)])
+    return sums.select(*keys, "n_members", F.sha2(F.concat_ws(":", "n_members", *[F.col(f"_s{i}").cast("string") for i in range(8)]), 256).alias(name))

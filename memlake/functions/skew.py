@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.session import cut_lineage
-
 
 def salted_join(
     big: DataFrame,
@@ -27,38 +25,3 @@ def salted_join(
     all_salts = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     repeated = small.withColumn("_salt", F.explode(all_salts))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-# a key is hot above this many rows; at most MAX_HOT_KEYS keys can then be hot
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-
-
-def hot_key_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: str,
-    salt_by: Sequence[str],
-    how: str = "inner",
-    salts: int = 64,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi join that salts only the keys that are hot in ``big``.
-
-    ``small`` may be large itself: just its rows of hot keys are repeated. The limit for
-    a hot key grows with the table, so there are at most MAX_HOT_KEYS of them, and their
-    list can be broadcast. Without a hot key this is a plain join.
-    """
-    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    likely = cut_lineage(counts.filter(F.col("_n") > hot_rows))
-    total = likely.agg(F.sum("_n").alias("n")).first()["n"]
-    if total is None:
-        return big.join(small, on, how)
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
-    hot = F.broadcast(likely.filter(F.col("_n") > limit).select(on, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    salted = big.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long")))
-    repeated = small.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")

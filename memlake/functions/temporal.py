@@ -54,12 +54,6 @@ def sort_key(ts: Column) -> Column:
     return F.struct(ts["epoch_s"], ts["leap"], ts["frac"])
 
 
-def pruning_micros(ts: Column) -> Column:
-    """Microseconds since the epoch, rounded down: a coarse column for file pruning."""
-    micros = F.rpad(F.substring(ts["frac"], 1, 6), 6, "0").cast("long")
-    return ts["epoch_s"] * 1_000_000 + F.when(ts["leap"] == 1, 999_999).otherwise(micros)
-
-
 def valid_at(mode: Column, start: Column, end: Column, t: Column) -> Column:
     """Whether instant ``t`` lies in the valid time (unknown never, intervals half open)."""
     inside = (
@@ -82,8 +76,3 @@ def valid_time_problem(mode: Column, start: Column, end: Column) -> Column:
     return F.when(~F.coalesce(shape, F.lit(False)), F.lit("BoundaryCombination")).when(
         (mode == "interval") & ~(start < end), F.lit("IntervalOrder")
     )
-
-
-def closed_valid_end(end: Column, effective_at: Column) -> Column:
-    """End of validity once a later event closes the record; the record stays unchanged."""
-    return F.least(end, effective_at)

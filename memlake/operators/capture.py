@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint
@@ -24,7 +24,8 @@ def decide_captures(incoming: DataFrame, bindings: DataFrame, current: DataFrame
     """created, idempotent or versioned per incoming capture, or the reason it is refused.
 
     An unknown binding starts a lineage. A known one must name its own lineage and keep
-    governance; equal bytes change nothing, other bytes make a version.
+    governance; equal bytes change nothing, other bytes make a version. Captures of one
+    binding are taken in the order of source_id, each against what the one before left.
     """
     known = bindings.select("namespace_id", "origin_binding_id", F.col("lineage_id").alias("b_lineage"))
     used = sources.select(*LINEAGE).distinct().withColumn("lineage_used", F.lit(True))
@@ -36,21 +37,37 @@ def decide_captures(incoming: DataFrame, bindings: DataFrame, current: DataFrame
     same_gov = F.lit(True)
     for g in GOV:
         same_gov = same_gov & F.col(g).eqNullSafe(F.col(f"c_{g}"))
-    same_bytes = (F.col("content_length") == F.col("c_content_length")) & (F.col("content_digest") == F.col("c_content_digest"))
-    same_kind = (F.col("source_kind") == F.col("c_source_kind")) & (F.col("media_type") == F.col("c_media_type"))
     bound = F.col("b_lineage").isNotNull()
     reason = (
         F.when(~bound & F.col("lineage_used"), "OriginBindingMismatch")
         .when(bound & (F.col("b_lineage") != F.col("lineage_id")), "OriginBindingMismatch")
         .when(bound & F.col("c_source_id").isNull(), "CaptureStateMismatch")
         .when(bound & ~same_gov, "CaptureStateMismatch")
-        .when(bound & same_bytes & ~same_kind, "CaptureStateMismatch")
     )
-    outcome = F.when(reason.isNotNull(), "rejected").when(~bound, "created").when(same_bytes, "idempotent").otherwise("versioned")
+    # the captures of a binding that are not refused, in order: each meets the bytes left before it
+    rows = rows.withColumn("reason", reason).withColumn("alone", F.when(reason.isNotNull(), F.col("source_id")))
+    turn = Window.partitionBy("namespace_id", "origin_binding_id", "alone").orderBy("source_id")
+    started = F.struct(*LINEAGE, *[F.col(g) for g in GOV])
+    facts = F.struct("content_length", "content_digest", "source_kind", "media_type")
+    earlier = F.struct(F.col("c_content_length").alias("content_length"), F.col("c_content_digest").alias("content_digest"), F.col("c_source_kind").alias("source_kind"), F.col("c_media_type").alias("media_type"))
+    rows = rows.withColumns({
+        "nth": F.row_number().over(turn),
+        "before": F.coalesce(F.lag(facts).over(turn), F.when(bound, earlier)),
+        "start": F.first(started).over(turn),
+    })
+    repeat = F.coalesce((F.col("content_length") == F.col("before.content_length")) & (F.col("content_digest") == F.col("before.content_digest")), F.lit(False))
+    other = repeat & ((F.col("source_kind") != F.col("before.source_kind")) | (F.col("media_type") != F.col("before.media_type")))
+    moved = ~bound & (F.col("nth") > 1) & ~F.col("start").eqNullSafe(started)
+    reason = F.coalesce(F.col("reason"), F.when(moved | other, "CaptureStateMismatch"))
+    change = (reason.isNull() & ~repeat).cast("long")
+    rows = rows.withColumns({"final": reason, "change": change})
+    so_far = F.sum("change").over(turn)
+    kept = F.last(F.when(F.col("change") == 1, F.col("source_id")), ignorenulls=True).over(turn)
+    outcome = F.when(F.col("final").isNotNull(), "rejected").when(repeat, "idempotent").when(~bound & (F.col("nth") == 1), "created").otherwise("versioned")
     return rows.select(
-        "source_id", *LINEAGE, outcome.alias("outcome"), reason.alias("reason"),
-        F.when(outcome == "idempotent", F.col("c_source_id")).when(outcome != "rejected", F.col("source_id")).alias("result_source_id"),
-        F.when(outcome == "created", 1).when(outcome == "versioned", F.col("c_version") + 1).cast("long").alias("next_version"),
+        "source_id", *LINEAGE, outcome.alias("outcome"), F.col("final").alias("reason"),
+        F.when(outcome == "idempotent", F.coalesce(kept, "c_source_id")).when(outcome != "rejected", F.col("source_id")).alias("result_source_id"),
+        F.when(outcome.isin("created", "versioned"), F.coalesce("c_version", F.lit(0)) + so_far).cast("long").alias("next_version"),
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint, set_digest
 from memlake.functions.ranking import ordered_sequence
-from memlake.functions.skew import hot_key_join
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
 from memlake.session import cut_lineage
@@ -28,11 +27,6 @@ PROFILE = [
     ("context-cache", "context_cache", "delete"),
     ("minimal-audit", "minimal_audit", "retain_minimal"),
 ]
-# fixed values: order in which components run; the audit is last
-EXECUTION_ORDER = [
-    "memory_proposal", "memory_record", "source_fragment", "source_body", "source_metadata",
-    "memory_decision", "memory_state_event", "full_text_index", "context_cache", "minimal_audit",
-]
 OUTCOME = {"delete": "deleted", "redact": "redacted", "retain_minimal": "retained_minimal"}
 MARKER = "[redacted:local-deletion]"
 FAILURE_CODE = "deletion-component-failed"
@@ -61,8 +55,8 @@ def linked_records(requests: DataFrame, sources: DataFrame, fragments: DataFrame
     )
     evidence = fragments.filter("deletion_state = 'active'").select("fragment_id", "source_id").join(hit, "source_id")
     refs = records.filter("deletion_state = 'active'").select("memory_id", "namespace_id", F.explode("source_fragment_refs").alias("fragment_id"))
-    # one fragment may be the evidence of a large share of all records
-    found = hot_key_join(refs, evidence.withColumnRenamed("namespace_id", "e_ns"), "fragment_id", ["memory_id"])
+    # one fragment may be the evidence of a large share of all records: the adaptive skew join splits it
+    found = refs.join(evidence.withColumnRenamed("namespace_id", "e_ns"), "fragment_id")
     return found.filter("namespace_id = e_ns").select(REQUEST, "memory_id").distinct()
 
 
@@ -97,8 +91,7 @@ def ref_json() -> Column:
 
 def closure_digests(found: DataFrame) -> DataFrame:
     """Number of targets and digest of the frozen target set per request."""
-    order = F.concat(type_rank(F.col("object_type")).cast("string"), F.col("object_id"))
-    return set_digest(found, [REQUEST], ref_json(), name="target_digest", order=order).withColumnRenamed("n_members", "target_count")
+    return set_digest(found, [REQUEST], ref_json(), name="target_digest").withColumnRenamed("n_members", "target_count")
 
 
 def profile_array() -> Column:
@@ -122,7 +115,7 @@ def execution_closure(
     frag = fragments.filter("deletion_state = 'active'").select("fragment_id", "source_id").join(src, "source_id").select(REQUEST, "fragment_id")
     origin = records.filter("deletion_state = 'active'").select("memory_id", F.col("origin_proposal_id").alias("proposal_id")).join(mem, "memory_id")
     refs = proposals.filter("deletion_state = 'active'").select("proposal_id", F.explode("source_fragment_refs").alias("fragment_id"))
-    using = hot_key_join(refs, frag, "fragment_id", ["proposal_id"])
+    using = refs.join(frag, "fragment_id")
     prop = origin.select(REQUEST, "proposal_id").unionByName(using.select(REQUEST, "proposal_id")).distinct()
     dec = decisions.select("decision_id", "proposal_id").join(prop, "proposal_id").select(REQUEST, "decision_id")
     evt = events.select("event_id", "memory_id").join(mem, "memory_id").select(REQUEST, "event_id")

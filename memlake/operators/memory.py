@@ -67,7 +67,12 @@ def admit_proposals(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def append_decisions(proposals: DataFrame, stored: DataFrame, incoming: DataFrame, records: DataFrame) -> DataFrame:
-    """Outcome of each incoming decision against the stored chain of its proposal."""
+    """Outcome of each incoming decision against the stored chain of its proposal.
+
+    A batch extends each tip once and uses each result id once. In the order of decided_at, if
+    there, and decision_id the first decision that is valid against the stored chain extends the
+    tip; later ones meet the moved tip. Among those, the first with a result id keeps it.
+    """
     known = proposals.select("proposal_id", F.col("namespace_id").alias("p_ns"))
     tips = decision_tips(stored)
     used = records.select(F.col("memory_id").alias("result_memory_id")).withColumn("id_used", F.lit(True))
@@ -84,6 +89,17 @@ def append_decisions(proposals: DataFrame, stored: DataFrame, incoming: DataFram
         .when(~tip.eqNullSafe(before), "DecisionChain")
         .when(F.col("id_used"), "DuplicateObject")
     )
+    rows = rows.withColumn("reason", reason)
+    order = F.struct(*[c for c in ("decided_at", "decision_id") if c in incoming.columns])
+    valid = rows.filter("reason IS NULL")
+    extended = valid.groupBy("proposal_id").agg(F.min(F.struct(order.alias("o"), "decision_id", "decision")).alias("first"))
+    rows = rows.join(extended, "proposal_id", "left")
+    late = F.col("reason").isNull() & (F.col("decision_id") != F.col("first.decision_id"))
+    rows = rows.withColumn("reason", F.when(late, F.when(F.col("first.decision") == "defer", "DecisionChain").otherwise("TerminalDecision")).otherwise(F.col("reason")))
+    taken = rows.filter("reason IS NULL AND result_memory_id IS NOT NULL").groupBy("result_memory_id").agg(F.min(F.struct(order.alias("o"), "decision_id")).alias("holder"))
+    rows = rows.join(taken, "result_memory_id", "left")
+    again = F.col("reason").isNull() & (F.col("decision_id") != F.col("holder.decision_id"))
+    reason = F.when(again, "DuplicateObject").otherwise(F.col("reason"))
     return rows.select(
         "decision_id", "proposal_id",
         F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias("outcome"),

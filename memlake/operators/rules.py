@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.digest import exact_digest, is_digest, nfc_digest
 from memlake.functions.governance import not_weaker, sensitivity_rank
-from memlake.functions.skew import hot_key_join
 from memlake.functions.temporal import valid_time_problem
-from memlake.functions.text import byte_slice  # noqa: F401
 from memlake.sources.segment import GOVERNANCE
 
 Check = tuple[str, Column]
@@ -253,7 +251,7 @@ def governance_derivation(
     pairs = derived.select(F.col(object_id).alias("object_id"), *prefixed(derived, "d_", gov), F.explode(refs).alias("ref"))
     source = parents.select(F.col(parent_id).alias("ref"), *prefixed(parents, "p_", gov))
     # one fragment may be the evidence of a large share of all objects
-    checked = hot_key_join(pairs, source, "ref", ["object_id"], "left").withColumn("found", F.col("p_sensitivity").isNotNull())
+    checked = pairs.join(source, "ref", "left").withColumn("found", F.col("p_sensitivity").isNotNull())
     per = checked.groupBy("object_id").agg(
         F.bool_or(~F.col("found")).alias("missing"),
         F.bool_or(F.col("found") & ~not_weaker("d_", "p_")).alias("weaker"),
@@ -311,7 +309,7 @@ def proposal_sources(proposals: DataFrame, fragments: DataFrame, sources: DataFr
     # the state of the source is joined to fragments first; one fragment may be evidence of
     # a large share of all proposals
     located = evidence.join(state, "source_id", "left")
-    rows = hot_key_join(refs, located, "fragment_id", ["proposal_id"], "left")
+    rows = refs.join(located, "fragment_id", "left")
     found = F.col("f_ns").isNotNull()
     per = rows.groupBy("proposal_id").agg(
         F.bool_or(~found | F.col("s_state").isNull()).alias("missing"),

@@ -11,6 +11,9 @@ from memlake.functions.text import FOLD_FROM, FOLD_TO
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
 TOKEN_RE = r"[\p{L}\p{N}\p{Co}]+"
 
+#: digest of a set whose members have the distinct SHA-256 ``h``: count and sums of eight 32-bit numbers
+SET_DIGEST = "sha256(concat_ws(':', count(*), " + ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8)) + "))"
+
 
 def tokens_sql(col: str) -> str:
     folded = f"regexp_replace(translate(lower({col}), '{FOLD_FROM}', '{FOLD_TO}'), '[\\x{{0300}}-\\x{{0331}}]', '', 'g')"

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from memlake.operators import deletion, versions
 from memlake.operators.chains import memory_current
-from memlake.plans.base_sql import cte, with_ctes
+from memlake.plans.base_sql import SET_DIGEST, cte, with_ctes
 from memlake.plans.recall_queries import rows
 from memlake.plans.registry import query
-from memlake.plans.rule_queries import rule_sql
 from memlake.session import cut_lineage
 from memlake.sources import bind
 
@@ -75,9 +74,9 @@ cte("tgt", ["src", "rec"], """
 SELECT 'del-' || lineage_id AS delete_request_id, 'SourceArtifact' AS object_type, source_id AS object_id, 0 AS type_rank FROM src WHERE deletion_state = 'active'
 UNION ALL SELECT 'del-' || s.lineage_id, 'MemoryRecord', r.memory_id, 4 FROM rec r JOIN src s ON s.source_id || '-f00000' = r.fragment_ref WHERE s.deletion_state = 'active'""")
 cte("tdig", ["tgt"], """
-SELECT delete_request_id, count(*) AS target_count,
-  sha256('[' || string_agg('{"object_id":"' || object_id || '","object_type":"' || object_type || '"}', ',' ORDER BY type_rank, object_id) || ']') AS target_digest
-FROM tgt GROUP BY delete_request_id""")
+SELECT delete_request_id, count(*) AS target_count, """ + SET_DIGEST + """ AS target_digest
+FROM (SELECT DISTINCT delete_request_id, sha256('{"object_id":"' || object_id || '","object_type":"' || object_type || '"}') AS h FROM tgt) t
+GROUP BY delete_request_id""")
 cte("profile", [], "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{k}', '{t}', '{a}')" for i, (k, t, a) in enumerate(deletion.PROFILE)
 ) + ") p(ordinal, component_key, component_type, required_action)")

@@ -16,7 +16,8 @@ def _hit(n: Column | str, mod: int, rest: int) -> Column:
 
 
 def _number(column: str, start: int) -> Column:
-    return F.substring(column, start, 10).cast("long")
+    """The number that starts at a place of an id, of any length."""
+    return F.regexp_extract(column, f"^.{{{start - 1}}}([0-9]+)", 1).cast("long")
 
 
 def sources(spark, path) -> DataFrame:

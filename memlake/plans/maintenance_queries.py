@@ -178,7 +178,7 @@ UNION ALL SELECT 'ns-none', t.lineage_id, 'extra' FROM tips t JOIN src s ON s.so
 def x1_tip_drift(spark, path):
     s = bind.sources(spark, path)
     good = versions.tips(s)
-    n = F.substring("source_id", 5, 8).cast("long")
+    n = F.expr("substring(source_id, 5)").cast("long")
     altered = good.filter(F.pmod(n, F.lit(3)) != 0).withColumn("version", F.col("version") + F.when(F.pmod(n, F.lit(5)) == 1, 1).otherwise(0))
     extra = good.filter(F.pmod(n, F.lit(7)) == 2).withColumn("namespace_id", F.lit("ns-none"))
     return maintain.drift(altered.unionByName(extra), good, ["namespace_id", "lineage_id"])
@@ -198,7 +198,7 @@ def v31_recall_drift(spark, path):
 SELECT memory_id, 'altered' AS reason FROM rec WHERE event_id % 9 = 4"""))
 def m1_verify_derivations(spark, path):
     good = chains.memory_current(bind.state_events(spark, path))
-    n = F.substring("memory_id", 5, 10).cast("long")
+    n = F.expr("substring(memory_id, 5)").cast("long")
     bad = good.withColumn("current_state", F.when(F.pmod(n, F.lit(9)) == 4, "expired").otherwise(F.col("current_state")))
     return maintain.drift(bad, good, ["memory_id"])
 
@@ -364,7 +364,7 @@ def s13_noise(spark, path):
 def expected_sources(hits_or_queries):
     """A document query expects its own document among the sources."""
     own = hits_or_queries.filter(F.col("query_id").startswith("doc-"))
-    return own.select("query_id", F.substring("query_id", 5, 1000).alias("expected_id")).distinct()
+    return own.select("query_id", F.expr("substring(query_id, 5)").alias("expected_id")).distinct()
 
 
 def hit_sources(hits):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memlake.functions.text import roots
 from memlake.operators import asof, chains, memory, versions
 from memlake.operators.recall import recall_batch
-from memlake.plans.base_sql import AS_OF, CTES, cte, with_ctes
+from memlake.plans.base_sql import AS_OF, CTES, SET_DIGEST, cte, with_ctes
 from memlake.plans.recall_queries import PERSONAL, rows
 from memlake.plans.registry import query
 from memlake.sources import bind
@@ -115,17 +115,28 @@ SELECT event_id, namespace_id, proposal_id, event_type, memory_id,
 FROM (SELECT m.*, 'dec-' || lpad(CAST(event_id AS VARCHAR), 10, '0') || '-1' AS dec_id FROM mem0 m)"""
 
 
+# every fifth proposal gets a second decision for the same tip in the batch
+_INCOMING_ALL = """
+SELECT proposal_id, decision_id, previous_decision_id, decision, result_memory_id FROM inc
+UNION ALL SELECT proposal_id, 'then-' || CAST(event_id AS VARCHAR), previous_decision_id, 'reject', NULL FROM inc WHERE event_id % 5 = 0"""
+
+
 @query("b6_append_decisions", with_ctes(["mem0", "dec", "rec"], """
-SELECT i.decision_id, i.proposal_id, CASE WHEN r IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, r AS reason FROM (
-  SELECT i.*, CASE WHEN (i.decision = 'accept') <> (i.result_memory_id IS NOT NULL) THEN 'InvalidFieldCombination'
-    WHEN d.decision <> 'defer' THEN 'TerminalDecision'
-    WHEN i.previous_decision_id IS NULL THEN 'DecisionChain'
-    WHEN i.result_memory_id IN (SELECT memory_id FROM rec) THEN 'DuplicateObject' END AS r
-  FROM inc i JOIN dec d ON d.proposal_id = i.proposal_id AND d.previous_decision_id IS NULL) i""", inc=_INCOMING_DEC))
+SELECT decision_id, proposal_id, CASE WHEN coalesce(r2, CASE WHEN rank > 1 THEN 'x' END) IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome,
+  coalesce(r2, CASE WHEN rank > 1 THEN 'DuplicateObject' END) AS reason
+FROM (SELECT *, CASE WHEN r2 IS NULL AND result_memory_id IS NOT NULL THEN row_number() OVER (PARTITION BY result_memory_id, r2 ORDER BY decision_id) END AS rank
+  FROM (SELECT t.*, CASE WHEN r IS NOT NULL THEN r WHEN turn > 1 AND first_decision = 'defer' THEN 'DecisionChain' WHEN turn > 1 THEN 'TerminalDecision' END AS r2
+    FROM (SELECT *, row_number() OVER w AS turn, first_value(decision) OVER w AS first_decision FROM (
+      SELECT i.*, CASE WHEN (i.decision = 'accept') <> (i.result_memory_id IS NOT NULL) THEN 'InvalidFieldCombination'
+        WHEN d.decision <> 'defer' THEN 'TerminalDecision'
+        WHEN i.previous_decision_id IS NULL THEN 'DecisionChain'
+        WHEN i.result_memory_id IN (SELECT memory_id FROM rec) THEN 'DuplicateObject' END AS r
+      FROM both_ i JOIN dec d ON d.proposal_id = i.proposal_id AND d.previous_decision_id IS NULL) i
+      WINDOW w AS (PARTITION BY proposal_id, r IS NULL ORDER BY decision_id)) t) u) v""", inc=_INCOMING_DEC, both_=_INCOMING_ALL))
 def b6_append_decisions(spark, path):
     d = bind.decisions(spark, path).filter("previous_decision_id is null")
-    n = F.substring("proposal_id", 6, 10).cast("long")
-    memory_id = F.concat(F.lit("new-mem-"), F.substring("proposal_id", 6, 10))
+    n = F.expr("substring(proposal_id, 6)").cast("long")
+    memory_id = F.concat(F.lit("new-mem-"), F.expr("substring(proposal_id, 6)"))
     accept = F.pmod(n, F.lit(2)) == 0
     incoming = d.select(
         F.concat(F.lit("new-"), n.cast("string")).alias("decision_id"), "namespace_id", "proposal_id",
@@ -134,6 +145,9 @@ def b6_append_decisions(spark, path):
         F.when(accept & (F.pmod(n, F.lit(11)) != 0),
                F.when(F.pmod(n, F.lit(13)) == 0, F.lit("mem-0000000000")).otherwise(memory_id)).alias("result_memory_id"),
     )
+    number = F.expr("substring(decision_id, 5)")
+    second = incoming.filter(F.pmod(number.cast("long"), F.lit(5)) == 0).withColumns({"decision_id": F.concat(F.lit("then-"), number), "decision": F.lit("reject"), "result_memory_id": F.lit(None).cast("string")})
+    incoming = incoming.unionByName(second)
     return memory.append_decisions(bind.proposals(spark, path), d, incoming, bind.records(spark, path))
 
 
@@ -158,7 +172,7 @@ SELECT 'end-' || memory_id AS event_id, memory_id, CASE WHEN r IS NULL THEN 'acc
     WHEN event_id % 5 = 0 THEN 'EventChain' END AS r FROM rec)"""))
 def b8_append_terminal_events(spark, path):
     r = bind.records(spark, path)
-    n = F.substring("memory_id", 5, 10).cast("long")
+    n = F.expr("substring(memory_id, 5)").cast("long")
     kinds = F.array(F.lit("superseded"), F.lit("retracted"), F.lit("contradicted"), F.lit("expired"))
     incoming = r.select(
         F.concat(F.lit("end-"), "memory_id").alias("event_id"), "namespace_id", "memory_id",
@@ -275,9 +289,9 @@ def q6_conflicts(spark, path):
 
 @query("q9_conflict_notices", with_ctes(["prop", "dec"], """
 SELECT c.namespace_id, c.subject_ref, c.memory_type, c.period, 'conflict_notice' AS item_type, 'conflict' AS temporal_role,
-  count(DISTINCT fragment_ref) AS n_citations,
-  sha256('[' || array_to_string(list_sort(list_distinct(list(fragment_ref))), ',') || ']') AS evidence_digest
-FROM c JOIN o ON o.namespace_id = c.namespace_id AND o.subject_ref = c.subject_ref AND o.memory_type = c.memory_type AND o.period = c.period
+  count(*) AS n_citations, """ + SET_DIGEST + """ AS evidence_digest
+FROM (SELECT DISTINCT c.namespace_id, c.subject_ref, c.memory_type, c.period, sha256(fragment_ref) AS h
+  FROM c JOIN o ON o.namespace_id = c.namespace_id AND o.subject_ref = c.subject_ref AND o.memory_type = c.memory_type AND o.period = c.period) c
 GROUP BY ALL""", o=_OPEN, c=_CONFLICTS))
 def q9_conflict_notices(spark, path):
     opened, found, period = found_conflicts(spark, path)

@@ -1,11 +1,10 @@
-"""Session helpers: configuration, checkpoints and the size guard for broadcasts."""
+"""Session helpers: configuration, checkpoints and the shared work folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "memlake", master: str | None = None, **conf) -> SparkSession:
@@ -51,13 +50,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the plan's growth."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only after counting that the frame holds few rows.
-
-    Reads at most ``max_rows + 1`` rows. Above the bound the frame comes back without
-    a hint and the join shuffles.
-    """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df

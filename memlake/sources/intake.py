@@ -17,8 +17,8 @@ MAX_BYTES = 8 * 1024 * 1024
 def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) files of a folder. Bodies over the size limit are not read.
 
-    The file source gives no row for a file of zero bytes, so such a file is in neither
-    frame; :func:`classify` rejects an empty body that comes as a row.
+    The file source gives no row for a file of zero bytes; such files are found in its
+    listing and rejected as empty.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -26,7 +26,11 @@ def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     large = files.filter(F.col("length") > MAX_BYTES).select(name.alias("name"), "path", F.lit("too_large").alias("reject_reason"))
     checked = classify(small)
     accepted = checked.filter("reject_reason is null").drop("reject_reason")
-    rejected = checked.filter("reject_reason is not null").select("name", "path", "reject_reason").unionByName(large)
+    plain = lambda path: F.regexp_replace(F.url_decode(path), "^file:/+", "file:/")
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    none = listed.withColumn("_key", plain("path")).join(files.select(plain("path").alias("_key")), "_key", "left_anti")
+    none = none.withColumn("path", plain("path")).select(name.alias("name"), "path", F.when(~extension(name).isin(*EXTENSIONS), "unsupported_type").otherwise("empty").alias("reject_reason"))
+    rejected = checked.filter("reject_reason is not null").select("name", "path", "reject_reason").unionByName(large).unionByName(none)
     return accepted, rejected
 
 

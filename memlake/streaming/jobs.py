@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.capture import current_facts, decide_captures
-from memlake.operators.chains import memory_current
 from memlake.operators.versions import tips
 
 
@@ -36,23 +35,18 @@ def current_from_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def stream_memory_current(
-    events: DataFrame, target: str, checkpoint: str, watermark: str = "1 day"
-):
+def stream_memory_current(events: DataFrame, target: str, checkpoint: str):
     """Keep a table of event facts up to date; read it with :func:`read_memory_current`.
 
-    The watermark only bounds the state that drops repeated events. Each batch appends
-    one small summary per touched memory; summaries merge on read, so a batch that runs
-    twice changes nothing and a late parent simply completes its memory.
+    Each batch appends one small summary per touched memory. Summaries are maxima, so
+    repeated events and a batch that runs twice change nothing, an event may be late by any
+    time, and a late parent simply completes its memory. No state is kept in the stream.
     """
-    deduplicated = events.withColumn("_at", F.col("occurred_at").cast("timestamp")).withWatermark("_at", watermark).dropDuplicatesWithinWatermark(
-        ["event_id"]
-    )
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         _event_facts(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return deduplicated.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
 def read_memory_current(spark: SparkSession, target: str) -> DataFrame:
@@ -75,8 +69,3 @@ def stream_captures(
         outcome.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return incoming.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
-
-
-def batch_memory_current(events: DataFrame) -> DataFrame:
-    """The batch answer the stream must reach."""
-    return memory_current(events)

@@ -101,22 +101,19 @@ def test_byte_slice_respects_characters(spark):
     assert one(spark, text.byte_slice(F.lit("ab"), F.lit(1), F.lit(3))) is None
 
 
-def test_set_digest_is_order_free_and_splits_large_groups(spark):
-    members = [f"m{i}" for i in range(50)]
-    rows = [("a", m) for m in members] + [("b", "m1")]
-    df = spark.createDataFrame(rows, "k string, m string")
-    whole = {r["k"]: r for r in digest.set_digest(df, ["k"], F.col("m")).collect()}
-    assert whole["a"]["set_digest"] == hashlib.sha256(("[" + ",".join(sorted(members)) + "]").encode()).hexdigest()
-    assert whole["a"]["n_members"] == 50
-    small = {r["k"]: r["set_digest"] for r in digest.set_digest(df, ["k"], F.col("m"), chunk=8).collect()}
-    parts = {}
-    for m in members:
-        p = int(hashlib.sha256(m.encode()).hexdigest()[:12], 16) % 7
-        parts.setdefault(p, []).append(m)
-    inner = [hashlib.sha256(("[" + ",".join(sorted(v)) + "]").encode()).hexdigest() for _, v in sorted(parts.items())]
-    assert small["a"] == hashlib.sha256(",".join(inner).encode()).hexdigest()
-    again = {r["k"]: r["set_digest"] for r in digest.set_digest(df.orderBy(F.desc("m")), ["k"], F.col("m"), chunk=8).collect()}
-    assert again == small and small["b"] == whole["b"]["set_digest"]
+def _set_digest(members):
+    sums = [0] * 8
+    for m in set(members):
+        h = hashlib.sha256(m.encode()).hexdigest()
+        sums = [s + int(h[8 * i : 8 * i + 8], 16) for i, s in enumerate(sums)]
+    return hashlib.sha256(":".join(map(str, [len(set(members)), *sums])).encode()).hexdigest()
+
+
+def test_set_digest_has_one_definition_for_every_size(spark):
+    sizes = {"a": 1, "b": 50, "c": 4096, "d": 4097, "e": 1_000_000}
+    df = spark.createDataFrame(list(sizes.items()), "k string, n long").selectExpr("k", "explode(sequence(1, n)) AS i").selectExpr("k", "concat('m', i) AS m")
+    got = {r["k"]: (r["n_members"], r["set_digest"]) for r in digest.set_digest(df.union(df.filter("k < 'e'")), ["k"], F.col("m")).collect()}
+    assert got == {k: (n, _set_digest([f"m{i}" for i in range(1, n + 1)])) for k, n in sizes.items()}
 
 
 def test_noise_wraps_at_64_bits(spark):
