@@ -31,7 +31,7 @@ from memlake.llm.textbytes import mixed, powers, prefix_sums, slices
 
 LENGTH = 100
 GRAM = 32
-CROWD = 1000
+CROWD = 8192
 BUNDLE_BYTES = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -212,18 +212,40 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, l
 _SPAN = "doc_id long, start long, stop long"
 
 
+def recurring_parts(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int):
+    """(part, begin, end) of the runs of windows whose hash occurs more than once in the parts."""
+    part = np.repeat(np.arange(len(ends)), ends - begins)
+    at = np.flatnonzero(np.arange(len(text)) + least <= ends[part])
+    sums = prefix_sums(text, 41)
+    _, inverse, counts = np.unique((sums[at + least] - sums[at]) * powers(len(text) + 1)[1][at], return_inverse=True, return_counts=True)
+    at = at[counts[inverse] > 1]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (part[at[1:]] != part[at[:-1]])
+    first = at[new]
+    last = at[np.append(new[1:], True)] if len(at) else at
+    return part[first], first, last + least
+
+
 def _scan_bundle(least: int):
     def run(group: pa.Table) -> pa.Table:
         parts = [x.as_buffer() for x in group["bytes"]]
-        text = np.frombuffer(b"".join(parts), np.uint8)
+        whole = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         begins = ends - np.array([len(p) for p in parts])
         docs, at = group["doc_id"].to_numpy(), group["start"].to_numpy()
+        # bytes outside recurring windows are in no repeat and are not sorted
+        part, first, last = recurring_parts(whole, begins, ends, least)
+        if not len(part):
+            return pa.table([pa.array(np.zeros(0, np.int64))] * 3, names=["doc_id", "start", "stop"])
+        docs, at = docs[part], at[part] + first - begins[part]
+        text = np.concatenate([whole[a:b] for a, b in zip(first, last, strict=True)])
+        ends = np.cumsum(last - first)
+        begins = ends - (last - first)
         order, common = suffix_array(text, ends)
         part = np.searchsorted(ends, order, "right")
         doc, place = docs[part], at[part] + order - begins[part]
         before = np.concatenate([[-1], text[:-1].astype(np.int64)])
-        before[begins] = -1  # the byte before a frame belongs to another frame
+        before[begins] = -1  # the window one byte before does not recur here, or belongs to another frame
         out = []
         for a, b, length in maximal_repeats(order, common, before, least):
             d, s = doc[a : b + 1], place[a : b + 1]
