@@ -41,9 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder all executors share: the checkpoint folder of this application."""
+    """Folder all executors share: the checkpoint folder of this application, removed when it ends."""
     ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
