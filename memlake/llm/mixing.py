@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import word_count
+from memlake.llm.common import small_side, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 BLOCK = 8
 SHARDS = 1024
+SHARD_BLOCKS = 2048
 SEED = 1729
 
 
@@ -90,23 +91,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     sized = docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), key.alias("h"),
-        F.coalesce(F.concat(F.lit("1"), "source"), F.lit("2")).alias("src"), F.pmod(key, F.lit(shards)).alias("shard"),
+        F.coalesce(F.concat(F.lit("1"), "source"), F.lit("2")).alias("src"), F.pmod(key, F.lit(shards)).alias("bucket"),
         *([] if carry is None else [carry.alias("row")]),
     )
-    parts = sized.groupBy("src", "shard").agg(F.sum("size").alias("words"))
+    parts = stored(sized.groupBy("src", "bucket").agg(F.sum("size").alias("words")), "mix-parts")
     plan = targets(parts.groupBy("src").agg(F.sum("words").alias("source_size")), weights, budget, cap)
     seats = F.round(budget * F.col("all_words") / block).cast("long")
     voted = plan.select("*", F.lit(0).alias("g"), F.sum("target").over(Window.partitionBy(F.lit(0))).alias("votes"), seats.alias("seats"))
     by_source = _seats(voted, ["g"], ["src"], "target", "votes", "seats").select("src", F.col("quota").alias("blocks"))
-    shares = parts.join(plan.join(by_source, "src"), "src")
+    # a shard holds many blocks, so that whole blocks come near the shares of small sources too
+    count = F.greatest(F.lit(1), F.least(F.lit(shards), F.floor(F.col("source_size") / (block * SHARD_BLOCKS))))
+    plan = stored(plan.join(by_source, "src", "left").withColumn("shards", count.cast("long")), "mix-plan")
+    shard = F.pmod("bucket", "shards").alias("shard")
+    shares = parts.join(plan, "src").groupBy("src", shard, "source_size", "blocks").agg(F.sum("words").alias("words"))
     by_shard = _seats(shares, ["src"], ["shard"], "words", "source_size", "blocks").select("src", "shard", "words", F.least(F.col("quota") * block, cap * F.col("words")).alias("take"))
+    sized = sized.join(small_side(plan.select("src", "source_size", "target", "shards")), "src").withColumn("shard", shard)
     stream = Window.partitionBy("src", "shard").orderBy("h", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.col("take") % F.col("words") - before
     taken = F.expr("take div words") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return (
         sized.join(by_shard, ["src", "shard"], "left").withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long"))
-        .join(plan.select("src", "source_size", "target"), "src")
         .select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", *([] if carry is None else ["row"]))
     )
 
