@@ -38,7 +38,7 @@ _WORD = re.compile(r"\S+")
 
 # Scores before learning.
 START = {"word": 1.0, "link word": 0.2}
-TAG = -1.0
+TAG = -0.4
 BOILERPLATE_TAG = -8.0
 
 
@@ -197,9 +197,12 @@ def extract(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     none, the start scores hold. Null and empty pages give an empty text. Only page_id, url
     and html are read; nulls and repeats in page_id and url are kept as they are.
     """
-    has = F.col("html").rlike(r"(?i)<(?:article|main)[\s>]")
-    known = pages.filter(has & (F.length("html") <= 1 << 18)).orderBy(F.xxhash64("html")).select("html").limit(fit_pages).collect()
-    shared = pages.sparkSession.sparkContext.broadcast(learn([r[0] for r in known]))
+    has = F.col("html").rlike(r"(?i)<(?:article|main)[\s>]") & (F.length("html") <= 1 << 18)
+    marked = pages.filter(has).select(F.xxhash64("html").alias("h"), "html")
+    first = [r[0] for r in marked.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
+    # one page per hash, so that copies do not count twice
+    known = marked.filter(F.col("h") <= first[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if first else []
+    shared = pages.sparkSession.sparkContext.broadcast(learn([r[1] for r in known]))
 
     def run(batches):
         for batch in batches:
