@@ -261,8 +261,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     release(spark)
     signatures = stored(_signatures(docs, hot, width, percent), "signatures")
     known = signatures.filter("doc_id IS NOT NULL AND n > 0")
+    # the classes are stored on their own, so that a join on a digest many texts share can be split
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = stored(known.select("doc_id", "digest").join(classes.filter("rep < last"), "digest").filter("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
+    classes = stored(classes.filter("rep < last").select("digest", "rep"), "copy-classes")
+    copies = stored(known.select("doc_id", "digest").join(small_side(classes, 200_000), "digest").filter("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
     rows = known.join(small_side(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("keys0").alias("place", "token"))
     first = rows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
     members = stored(rows.join(first, "token"), "members")

@@ -296,8 +296,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     whole = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("stop"))
-    first = whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = stored(whole.join(first, "sha").filter("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), "stop"), "whole-copies")
+    # the classes are stored on their own, so that a join on a digest many texts share can be split
+    first = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first"), "copy-classes")
+    copies = stored(whole.join(small_side(first, 200_000), "sha").filter("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), "stop"), "whole-copies")
     rest = texts.join(small_side(copies.select("doc_id").distinct()), "doc_id", "left_anti")
     framed = rest.mapInArrow(_framed(length), _FRAME).repartitionByRange("owner", "digest").sortWithinPartitions("owner", "digest", "doc_id", "start")
     found = stored(framed.mapInArrow(_settle, "owner long, doc_id long, start long, n long, done boolean"), "frames")
