@@ -15,7 +15,17 @@ from memlake.session import cut_lineage, work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of one Arrow batch: texts are long, and a batch is held several times at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch to or from Python hold more than ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

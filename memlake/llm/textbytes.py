@@ -55,7 +55,7 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
 
 
-def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts or binaries with about ``max_bytes`` bytes; null is empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if not len(texts):
