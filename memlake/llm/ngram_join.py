@@ -7,8 +7,8 @@ random and independent of each other.
 
 1. Frequent tokens: counted over the prefixes of all texts, half as long again as needed.
    Those above a share of the count form a table of at most ``HOT_ROWS`` rows.
-2. Signatures: size, digest of the word sequence and first-order prefix of every text.
-   Texts with one digest are one class, held by its smallest doc_id.
+2. Signatures: size, digest of the word sequence and prefixes of every row, stored with a
+   number of the row. Rows with one digest are one class, held by its smallest row number.
 3. Every prefix token links the classes that hold it to the smallest of them. Candidates
    must also share prefix tokens under the other orders before the sets are compared.
 4. Verified pairs are merged to components. Then the candidates between components that are
@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import components, release, small_side, stored
@@ -36,7 +36,7 @@ HOT_LEAST = 16
 CROWD = 32
 BLOCK = 2048
 SALTS = (0, 0x5851F42D4C957F2D)
-SIGNATURE = ["doc_id", "n", "digest", *[f"keys{i}" for i in range(len(SALTS))]]
+KEYS = [f"keys{i}" for i in range(len(SALTS))]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -110,10 +110,15 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
+def _row_key() -> Column:
+    """A hash of doc_id and text, by which a stored row number finds its row again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def _signatures(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row, data, offsets in slices(batch.column(1)):
+            for row, data, offsets in slices(batch.column(2)):
                 sets = list(shingle_sets(data, offsets, width))
                 low = LOWER[data].tobytes()
                 digests = [hashlib.blake2b(b" ".join(low[a:b].split()), digest_size=16).digest() for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -122,19 +127,26 @@ def _signatures(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
                     parts = [np.sort(order_keys(ordered_prefix(t, prefix_size(len(t), percent), hot.value, order), hot.value, order)).view(np.int64) for t in sets]
                     ends = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
                     prefixes.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *prefixes], names=SIGNATURE)
+                yield pa.RecordBatch.from_arrays([*[c.slice(row, len(sets)) for c in batch.columns[:2]], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *prefixes], names=["key", "doc_id", "n", "digest", *KEYS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, " + ", ".join(f"{c} array<long>" for c in SIGNATURE[3:]))
+    rows = docs.select(_row_key().alias("key"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, n long, digest binary, " + ", ".join(f"{c} array<long>" for c in KEYS))
+    return rows.withColumn("id", F.monotonically_increasing_id())
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, signatures: DataFrame, width: int) -> DataFrame:
+    """id and tokens of the rows with these numbers, one row each."""
+    ids = stored(signatures.select("id", "key").join(small_side(ids), "id", "left_semi"), "ids")
     def run(batches):
         for batch in batches:
             for row, data, offsets in slices(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(data, offsets, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids), "id", "left_semi").mapInArrow(run, "id long, tokens binary")
+    texts = docs.select(_row_key().alias("key"), "text").join(small_side(ids), "key").select("id", "text")
+    repeated = signatures.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").join(ids, "key", "left_semi")
+    if repeated.limit(1).count():
+        texts = texts.dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, tokens binary")
 
 
 def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -150,9 +162,9 @@ def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
                     keep[i] = may_reach(n[i], x[i].values.to_numpy().view(np.uint64), m[i], y[i].values.to_numpy().view(np.uint64), percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    of = lambda side, tag: signatures.select(F.col("doc_id").alias(side), F.col("n").alias(tag + "n"), *[F.col(c).alias(tag + c) for c in SIGNATURE[3:]])
+    of = lambda side, tag: signatures.select(F.col("id").alias(side), F.col("n").alias(tag + "n"), *[F.col(c).alias(tag + c) for c in KEYS])
     both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b")
-    return both.select("a", "b", "xn", "yn", *[t + c for c in SIGNATURE[3:] for t in "xy"]).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "xn", "yn", *[t + c for c in KEYS for t in "xy"]).mapInArrow(run, "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -165,7 +177,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: i
     """Pairs whose sets are similar; only texts of pairs that pass all filters are read again."""
     pairs = stored(_filtered(pairs, signatures, percent).distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs, ids, width), "sets")
+    sets = stored(_sets(docs, ids, signatures, width), "sets")
 
     def run(batches):
         for batch in batches:
@@ -232,7 +244,7 @@ def crowd_pairs(n, place, component, keys, sets, left, right, token, percent: in
 def _crowd_links(held: DataFrame, signatures: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that join components within large groups: each pair of blocks of a group is one small task."""
     ids = held.select("id").distinct()
-    sets = stored(_sets(docs, ids, width).join(signatures.select(F.col("doc_id").alias("id"), F.col("keys0").alias("keys")), "id"), "crowd-sets")
+    sets = stored(_sets(docs, ids, signatures, width).join(signatures.select("id", F.col("keys0").alias("keys")), "id"), "crowd-sets")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = held.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "place", "component").join(sets, "id")
@@ -249,23 +261,18 @@ def _crowd_links(held: DataFrame, signatures: DataFrame, docs: DataFrame, width:
     return rows.groupBy("token", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
-
-    ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts have no
-    shingles and are alone. A doc_id stands for one node, so rows that repeat it share their
-    links; a null doc_id is alone, with a null component.
-    """
+def _linked_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, component), one row per row of ``docs``; a component is the smallest row number in it."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_tokens(docs, width, percent))
     release(spark)
     signatures = stored(_signatures(docs, hot, width, percent), "signatures")
-    known = signatures.filter("doc_id IS NOT NULL AND n > 0")
+    known = signatures.filter("n > 0")
     # the classes are stored on their own, so that a join on a digest many texts share can be split
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     classes = stored(classes.filter("rep < last").select("digest", "rep"), "copy-classes")
-    copies = stored(known.select("doc_id", "digest").join(small_side(classes, 200_000), "digest").filter("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
-    rows = known.join(small_side(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", F.posexplode("keys0").alias("place", "token"))
+    copies = stored(known.select("id", "digest").join(small_side(classes, 200_000), "digest").filter("id > rep").select("id", "rep"), "copies")
+    rows = known.join(small_side(copies.select("id")), "id", "left_anti").select("id", "n", F.posexplode("keys0").alias("place", "token"))
     first = rows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
     members = stored(rows.join(first, "token"), "members")
     release(spark)
@@ -290,15 +297,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = cut_lineage(_verified(rest.join(star, ["a", "b"], "left_anti"), known, docs, width, percent).union(_crowd_links(held.filter(F.col("size") > CROWD), known, docs, width, percent)))
     if more.limit(1).count():
         labels = components(linked.union(more))
-    node = signatures.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
-    return node.join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    node = signatures.select("key", "doc_id", "n", F.col("id").alias("own")).join(copies.withColumnRenamed("id", "own"), "own", "left").withColumn("id", F.coalesce("rep", "own"))
+    return stored(node.join(labels, "id", "left").select("key", "doc_id", "n", F.coalesce("component", "id").alias("component")), "linked-rows")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Every row is a node of its
+    own, also where a doc_id repeats or is null; a component is named by its smallest
+    doc_id. Null and empty texts have no shingles and are alone. A row with a null doc_id
+    links others like any row, but its own component_id is null.
+    """
+    rows = _linked_rows(docs, width, percent)
+    lowest = stored(rows.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("c")).filter("c > 1").select("component", "lowest"), "lowest")
+    name = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
+    return rows.join(small_side(lowest), "component", "left").select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component; null doc_ids stay.
+    """One row of ``docs`` per component, one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id and agree in all columns become one.
+    A component that has rows with a null doc_id keeps one of them besides. Rows without
+    shingles become one where doc_id and text agree.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = found.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(stored(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = _linked_rows(docs, width, percent)
+    known = F.col("doc_id").isNotNull()
+    kept = rows.groupBy("component").agg(F.min(F.when(known, F.struct("doc_id", "key"))).alias("low"), F.min(F.when(~known, F.col("key"))).alias("free"), F.count("*").alias("c"))
+    kept = stored(kept.filter("c > 1").select("component", F.col("low.doc_id").alias("low_id"), F.col("low.key").alias("low_key"), "free"), "kept")
+    other = F.when(known, (F.col("doc_id") != F.col("low_id")) | (F.col("key") != F.col("low_key"))).otherwise(F.col("key") != F.col("free"))
+    gone = stored(rows.join(small_side(kept), "component").filter(other).select(F.col("key").alias("_key"), F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = stored(rows.groupBy("key", "doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), F.col("doc_id").alias("_gone")), "again")
+    keyed = docs.withColumn("_row", _row_key())
+    same = (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
+    keyed = keyed.join(small_side(gone), same, "left_anti")
+    if not again.limit(1).count():
+        return keyed.drop("_row")
+    # rows that agree in doc_id and text: the first by their other columns
+    order = [F.col(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
+    one = keyed.join(small_side(again), same, "left_semi").groupBy("_row", "doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.struct(*order) if order else F.lit(0)).alias("_one"))
+    return keyed.join(small_side(again), same, "left_anti").drop("_row").unionByName(one.select("_one.*"))

@@ -93,6 +93,17 @@ def test_near_duplicates_of_empty_table_and_first_of_each(corpus, empty):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want | {None}
 
 
+def test_first_of_each_counts_rows_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "w"), (2, a, "x"), (2, b, "x"), (3, b + " more", "x"), (3, c, "x"), (None, c, "x"), (None, c, "x"), (None, d, "x"), (None, d + " more", "x"), (4, "", "x"), (4, "", "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()), key=str)
+    assert found == sorted([(1, 1)] * 3 + [(2, 1), (2, 2), (3, 2), (3, 3), (4, 4), (4, 4), (4, 4)] + [(None, None)] * 4, key=str)
+    kept = [tuple(r) for r in ngram_join.first_of_each(df).collect()]
+    assert len(kept) == 7 and len(set(kept)) == len(kept)
+    assert {k for k in kept if k[1] not in (d, d + " more")} == {(1, a, "w"), (2, b, "x"), (3, c, "x"), (None, c, "x"), (4, "", "x"), (4, None, "x")}
+
+
 @pytest.mark.parametrize(("length", "crowd"), [(40, 1000), (40, 1), (100, 1000)])
 def test_repeats_equal_brute_force(corpus, monkeypatch, length, crowd):
     df, rows = corpus
