@@ -84,6 +84,7 @@ _SIGN = re.compile(r"@|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x2
 _BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _AFTER = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,8}", re.I)
 _NUMBER = re.compile(r"[+(]{0,2}[0-9][0-9\x20().-]*[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 _HINTS = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|schreib|écri|escrib", r"\bip\b|host|server|addr|dns", r"card|visa|karte|carte|tarjeta|pay", r"phone|tel|call|fax|mobil|ruf"))
 
 
@@ -96,18 +97,31 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             if a and b:
                 out.append(("email", a.start(), b.end()))
     for m in _NUMBER.finditer(text):
-        d = len(_digits(m[0]))
-        if d < 4 or d > 24:
-            continue
-        if m[0].count(".") == 3:
-            out.append(("ip", *m.span()))
-        if 12 <= d <= 20:
-            out.append(("card", *m.span()))
-        if 7 <= d <= 16:
-            out.append(("phone", *m.span()))
+        out += _parts(text, m.start(), m.end())
     return out
 
 
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Spans of whole digit groups inside a run: from every group on, as far as each kind allows."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    between = [text[x[1] : y[0]].count(".") for x, y in zip(groups, groups[1:], strict=False)]
+    for i, (a, _) in enumerate(groups):
+        if between[i : i + 3] == [1, 1, 1]:
+            yield "ip", a, groups[i + 3][1]
+        lead = a
+        while lead > start and a - lead < 2 and text[lead - 1] in "+(":
+            lead -= 1
+        d = 0
+        for x, b in groups[i:]:
+            d += b - x
+            if d > 19:
+                break
+            if d >= 12:
+                yield "card", a, b
+            if 7 <= d <= 16:
+                yield "phone", a if text.count("(", lead, b) > text.count(")", lead, b) else lead, b
+
+
 def describe(kind: str, text: str, start: int, end: int) -> list[float]:
     """Features of form and context; only 24 characters on either side are looked at."""
     s, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 24]
@@ -118,6 +132,7 @@ def describe(kind: str, text: str, start: int, end: int) -> list[float]:
         len(s), len(d), len(groups), min(groups), max(groups), max(parts), s.count(" "), s.count("-"), s.count("."), s.count("("),
         float(s[0] == "+"), float(s[0] == "("), float(luhn(d)) if d else 0.0, float(d[:1] or 0), float("@" in s), float(len(s.rpartition(".")[2])),
         float(bool(re.search(r"[.\s\])]dot[\s\[(]|\]|\[", s, re.I))), float(len(set(d))), float(bool(re.fullmatch(r"(?:19|20)\d\d[-. ]?\d\d?[-. ]?\d\d?.*", s))),
+        groups[0], groups[-1], len(re.split("[^A-Za-z0-9]+", s)[-1]),
     ]
     context = [float(bool(h.search(before))) for h in _HINTS]
     context += [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#v/=" and before != ""), float(before[-1:].isspace() or before == "")]
