@@ -3,13 +3,15 @@
 Strict patterns with checks (``base_spans``) are always redacted. Generators with high
 recall propose further, overlapping spans: mail addresses with spelled-out signs, dotted
 numbers, long digit groups, telephone numbers without a plus. Boosted trees over the form
-of a span and the characters around it, learned from candidates of the corpus (labelled by
-the strict patterns) and from variants and near misses made of them, give a probability;
-the threshold per kind is the lowest one that is right often enough on held-back rows.
+of a span and the characters around it, learned from the strict matches of the corpus and
+from variants and near misses made of them, give a probability; the threshold per kind is
+the lowest one that is right often enough on held-back rows. Candidates that the strict
+patterns do not match are unlabelled: they may be what is looked for, and teach nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -24,6 +26,8 @@ from memlake.llm.textbytes import slices
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS = 4000
+#: invented matches of each kind, so that no kind depends on what the corpus holds
+SEEDS = 100
 PRECISION = 0.99
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -150,30 +154,58 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = text.as_py() or ""
             if _SOME.search(t) or " at " in t:
                 known = set(base_spans(t))
-                for kind, a, b in candidates(t):
+                for kind, a, b in known.intersection(candidates(t)):
                     around = (t[max(0, a - 24) : a], t[a:b], t[b : b + 24])
                     h = int.from_bytes(hashlib.blake2b("\0".join((kind, *around)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    rows.append((h, kind, float((kind, a, b) in known), *around))
+                    rows.append((h, kind, 1.0, *around))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
 
 
+def _invented(kind: str, rng: random.Random) -> str:
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        return f"ab.{number(2)}@mail.example.{rng.choice(['com', 'org', 'de'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    if kind == "phone":
+        return f"+1 ({rng.randint(200, 999)}) 555-{number(4)}"
+    some = rng.sample("0123456789", rng.randint(2, 10))
+    d = rng.choice("3456") + "".join(rng.choice(some) for _ in range(14))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
 def _variants(rows: list[tuple]) -> list[tuple]:
-    """The sampled rows, other spellings of their positives, and near misses in their contexts."""
+    """The sampled strict matches, other spellings of them, and near misses in their contexts."""
     rng = random.Random(5)
-    seeds = [r for r in rows if r[1]] or [(k, 1.0, "to the ", s, " and") for k, s in (("email", "ab.12@mail.example.com"), ("ip", "10.20.30.40"), ("card", "4111111111111111"), ("phone", "+1 (212) 555-0123"))]
-    out = list(rows)
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    seeds = list(rows)
+    for kind in KINDS:
+        for _ in range(SEEDS):
+            seeds.append((kind, 1.0, "to the ", _invented(kind, rng), " and"))
+    out = list(seeds)
     for kind, _, before, s, after in seeds:
         put = lambda span, label, kind=kind, before=before, after=after: out.append((kind, label, before, span, after))
         if kind == "email":
             put(s.replace("@", " (at) "), 1.0)
             put(s.replace("@", " at ").replace(".", " dot "), 1.0)
             put(s.replace("@", "[at]").replace(".", "[dot]"), 1.0)
+            put(f"{rng.choice(['look', 'point', 'stop', 'start'])} at {rng.choice(['the', 'one', 'each'])} dot {rng.choice(['product', 'matrix', 'pattern', 'there'])}", 0.0)
         elif kind == "phone":
             national = re.sub(r"^\+[0-9]{1,2}\x20?", "", s)
             if len(_digits(national)) >= 9 and re.search(r"[\x20().-]", national):
                 put(national, 1.0)
+                groups = _GROUP.findall(national)
+                for sign in " -.":
+                    put(sign.join(groups), 1.0)
+                # parts of a number, and spans that reach into the next one
+                for whole in (national, " ".join(groups), "-".join(groups)):
+                    first, last = _GROUP.search(whole), whole.rindex(groups[-1])
+                    for part in (whole[first.end() :].lstrip(" ).-"), whole[:last].rstrip(" (.-"), f"{whole} {number(3)}", f"{number(4)} {whole}", f"{groups[-1]} {whole[:last].rstrip(' (.-')}"):
+                        if 7 <= len(_digits(part)) <= 16:
+                            put(part, 0.0)
+            for _ in range(3):
+                put(" ".join(number(rng.randint(1, 6)) for _ in range(rng.randint(3, 5)))[:18].strip(), 0.0)
             for miss in (f"20{number(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{number(3)}.{number(6)}", number(8), number(10), f"{number(4)} {number(4)}", f"19{number(2)} 20{number(2)}"):
                 put(miss, 0.0)
         elif kind == "card":
@@ -181,6 +213,12 @@ def _variants(rows: list[tuple]) -> list[tuple]:
             put("-".join(re.findall(".{1,4}", _digits(s))), 1.0)
             d = _digits(s)
             put(d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10), 0.0)
+            put(" ".join(re.findall(".{1,4}", d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10))), 0.0)
+            put(" ".join(re.findall(".{1,4}", d[:12])), 0.0)
+            # groups as in tables of numbers, although the check digit fits
+            cuts = [0, *sorted(rng.sample(range(1, len(d)), min(len(d) - 1, rng.randint(4, 7)))), len(d)]
+            if {y - x for x, y in zip(cuts, cuts[1:], strict=False)} - {4}:
+                put(" ".join(d[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), 0.0)
             put(number(12), 0.0)
             put(f"20{number(12)}", 0.0)
         else:
@@ -245,7 +283,7 @@ class Trees:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[Trees, dict[str, float]]:
-    """Trees and a threshold per kind, from at most ``rows`` candidates (hash order, all texts proposed)."""
+    """Trees and a threshold per kind, from at most ``rows`` strict matches (hash order, all texts proposed)."""
     found = docs.select("text").mapInArrow(_propose, _SAMPLE).distinct().orderBy("h", "kind", "span").limit(rows).collect()
     data = _variants([tuple(r)[1:] for r in found])
     x = np.array([describe(k, b + s + a, len(b), len(b) + len(s)) for k, _, b, s, a in data])
@@ -269,11 +307,12 @@ def select(text: str, model: Trees, limits: dict[str, float]) -> tuple[list, lis
     if not (base or _SOME.search(text) or " at " in text or "at" in text and ("[" in text or "(" in text)):
         return base, base
     taken = sorted((a, b) for _, a, b in base)
-    more = [c for c in candidates(text) if c not in base]
+    free = _Free(taken)
+    more = [c for c in candidates(text) if free.has(*c[1:])]
     if not more:
         return base, base
     p = model(np.array([describe(k, text, a, b) for k, a, b in more]))
-    added, free = [], _Free(taken)
+    added = []
     for score, (k, a, b) in sorted(zip(p.tolist(), more, strict=True), key=lambda r: (-r[0], r[1])):
         if score >= limits[k] and free.take(a, b):
             added.append((k, a, b))
@@ -291,13 +330,14 @@ class _Free:
             else:
                 self.spans.append([a, b])
 
-    def take(self, a: int, b: int) -> bool:
-        import bisect
-
+    def has(self, a: int, b: int) -> bool:
         at = bisect.bisect_left(self.spans, [b, b])
-        if at and self.spans[at - 1][1] > a:
+        return not (at and self.spans[at - 1][1] > a)
+
+    def take(self, a: int, b: int) -> bool:
+        if not self.has(a, b):
             return False
-        self.spans.insert(at, [a, b])
+        bisect.insort(self.spans, [a, b])
         return True
 
 
