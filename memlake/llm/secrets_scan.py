@@ -1,18 +1,18 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Strong patterns (``BASE``) are always reported. Weak parts of credentials - identifiers,
-secrets, endpoints - say little alone: an interval join of the parts of a text, in scopes
-of ``reach`` characters, reports a weak part only where complementary parts stand near it.
+secrets, endpoints - say little alone: an interval join of the parts of a text reports a
+weak part only where at most ``reach`` characters lie between it and a complementary part.
 
 Positions come from the text between matches: ``split`` and ``regexp_extract_all`` cut a
 text at the same places, and running lengths of the pieces are the offsets. No text is
-shuffled; the join is on (row, scope) over the first and last place of every kind of part
-in a scope, so that many parts in one scope make no pairs.
+shuffled; the join is one pass over the parts of a row in order with the largest end so
+far of every kind of part, so that many parts in one place make no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import let, stored
@@ -27,10 +27,10 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", "secret"),
 }
 WEAK = {
-    "user": (r"""(?i:client_?id|access_?key_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", "id"),
+    "user": (r"""(?i:client_?id|access_?key_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", "id"),
     "key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret"),
-    "pass": (r"""(?i:\bpwd|\bpass|\bpassphrase|\bcredentials?|\bauth)["']?\x20*[:=]\x20*["']?[^\x00-\x20"']{6,64}""", "secret"),
-    "endpoint": (r"""(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ldap)://[^\x00-\x20"'<>]{3,256}""", "endpoint"),
+    "pass": (r"""(?i:\bpwd|\bpass|\bpassphrase|\bcredentials?|\bauth)["']?\x20*[:=]\x20*["']?[^\x00-\x20"']{6,}""", "secret"),
+    "endpoint": (r"""(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ldap)://[^\x00-\x20"'<>]{3,}""", "endpoint"),
 }
 #: part -> parts of which at least one must stand near a weak candidate of that part
 NEEDS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
@@ -82,15 +82,15 @@ def find(docs: DataFrame, reach: int = 256) -> DataFrame:
     rows = stored(rows, "secret-parts")
     apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     busy = rows.filter(F.size("weak") > 0)
-    scope = lambda start: F.floor(start / reach)
-    part = busy.select("row", F.explode(F.concat("base", apart)).alias("s"))
-    ends = part.groupBy("row", scope(F.col("s.start")).alias("scope"), _part(F.col("s.kind")).alias("part")).agg(F.min("s.start").alias("first"), F.max("s.start").alias("last"))
-    weak = busy.select("row", F.explode(apart).alias("s")).select("row", "s", F.explode(F.array(*[scope(F.col("s.start")) + d for d in (-1, 0, 1)])).alias("scope"))
-    near = (F.col("first") <= F.col("s.start") + reach) & (F.col("last") >= F.col("s.start") - reach)
+    part = busy.select("row", F.explode(F.concat("base", apart)).alias("s")).select("row", F.col("s.start").alias("at"), F.col("s.end").alias("end"), _part(F.col("s.kind")).alias("part"))
+    weak = busy.select("row", F.explode(apart).alias("s")).withColumn("at", F.col("s.end") + reach)
+    # of the parts that start by then, the one that ends last is near if any is
+    past = Window.partitionBy("row").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.lit(False)
     for own, needed in NEEDS.items():
-        fits = fits | ((_part(F.col("s.kind")) == own) & F.col("part").isin(*needed))
-    linked = weak.join(ends, ["row", "scope"]).filter(near & fits).select("row", "s").distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("linked"))
+        fits = fits | ((_part(F.col("s.kind")) == own) & (F.max(F.when(F.col("part").isin(*needed), F.col("end"))).over(past) >= F.col("s.start") - reach))
+    linked = part.unionByName(weak, allowMissingColumns=True).withColumn("near", fits).filter("s IS NOT NULL AND near")
+    linked = linked.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("linked"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.join(linked, "row", "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
 

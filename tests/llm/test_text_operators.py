@@ -356,6 +356,13 @@ def test_weak_credentials_need_complements(spark):
     assert kinds == {1: ["access", "key", "endpoint"], 2: [], 3: [], 4: ["access"], 5: ["user", "pass"]}
 
 
+def test_long_weak_credentials_are_whole_and_linked_by_gaps(spark):
+    long = "".join(random.Random(5).choices("ghijkGHIJK", k=200))
+    texts = [f"user: alice99 auth={long} end", f"https://{'ab/' * 120} pass: hunter2hunter2", f"pass: {long * 2} user: bob", f"login={long} {'- ' * 120}pwd=abcdefgh", f"login=bob99 {'- ' * 140}pwd=abcdefgh"]
+    got = {r["doc_id"]: r["spans"] for r in secrets_scan.digest(secrets_scan.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got == {0: "user:0:13,pass:14:219", 1: "endpoint:0:368,pass:369:389", 2: "pass:0:406,user:407:416", 3: "user:0:206,pass:447:459", 4: ""}
+
+
 def test_quality_model(spark, sf, empty):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = quality_model.score(docs, labels).collect()
