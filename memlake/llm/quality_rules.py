@@ -40,7 +40,8 @@ RULES = (
     Rule("word_length", "word_chars / n_words", low=1.5, high=20.0),
     Rule("stop_words", "n_stop_words / n_words", low=0.01, from_words=60),
     Rule("repeated_lines", "n_dup_lines / n_lines", high=0.45),
-    Rule("line_words", "n_words / n_lines", low=1.0),
+    # no labelled text of five or more lines (sf0.1) has fewer than four words a line
+    Rule("line_words", "n_words / n_lines", low=3.0, from_words=20),
 )
 
 

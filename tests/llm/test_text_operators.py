@@ -46,6 +46,22 @@ def test_quality_counts_of_small_texts(spark, text):
     assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.rule_counts(text)
 
 
+def test_every_quality_rule_rejects_a_text(spark):
+    plain = " ".join(f"w{i} the" for i in range(40))
+    broken = {
+        "symbols": plain + "#" * 60,
+        "word_length": " ".join(f"{i}" + "x" * 30 for i in range(12)),
+        "stop_words": " ".join(f"w{i}" for i in range(80)),
+        "repeated_lines": "\n".join([plain, *["of it is so"] * 4]),
+        "line_words": "\n".join(f"w{i} the" for i in range(40)),
+    }
+    assert set(broken) == {r.name for r in quality_rules.RULES}
+    texts = spark.createDataFrame([("plain", plain), *broken.items()], "doc_id string, text string").coalesce(1)
+    for rule in quality_rules.RULES:
+        got = {r["doc_id"] for r in quality_rules.apply_rules(texts, (rule,)).collect() if not (r["kept"] or r["base_failed"])}
+        assert rule.name in got and "plain" not in got
+
+
 @pytest.mark.parametrize(("width", "percent", "crowd", "block"), [(4, 85, 32, 2048), (5, 80, 1, 2048), (2, 60, 1, 5)])
 def test_near_duplicates_equal_all_pairs(corpus, monkeypatch, width, percent, crowd, block):
     df, rows = corpus
