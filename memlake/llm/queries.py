@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import table
+from memlake.llm.hard_negatives import SQL as HARD_NEGATIVES
+from memlake.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES}
 
 
 def _query(fn):
@@ -89,3 +92,26 @@ def op5_repeats(spark, sf_dir):
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
     found = without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@_query
+def op11_token_files(spark, sf_dir):
+    from memlake.llm.token_files import read_ids, write_ids
+
+    folder = f"{work_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), folder)
+    return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_hard_negatives(spark, sf_dir):
+    from memlake.llm.hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_periodic_runs(spark, sf_dir):
+    from memlake.llm.runs import digest, periodic_runs
+
+    return digest(periodic_runs(table(spark, sf_dir, "documents"), plant=True))

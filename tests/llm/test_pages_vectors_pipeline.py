@@ -107,7 +107,7 @@ def test_pipeline_takes_empty_documents(spark, sf):
 def test_entry_holds_every_query():
     names = entry.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_similarity_filters_lose_nothing():
