@@ -153,14 +153,20 @@ ELIGIBLE = f"""sensitivity = 'personal' AND available_at <= {AS_OF}
   AND NOT (retention_mode = 'until_time' AND (retention_expires_at IS NULL OR retention_expires_at <= {AS_OF}))
   AND (object_kind = 'source_fragment' OR valid_start <= {AS_OF})"""
 
-cte("qs", ["src", "tips"], """
-SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id,
-  ['ns-de', 'ns-en', 'ns-es', 'ns-fr'][CAST(conv_id % 4 AS INTEGER) + 1] AS namespace_id,
-  array_to_string(string_split(text, ' ')[1:2], ' ') AS query
-FROM conversations WHERE role = 'user'
+cte("qs", ["src", "tips", "frag"], """
+SELECT query_id, namespace_id, query FROM (
+  SELECT conv_id, turn, text, role, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS number,
+    ['ns-de', 'ns-en', 'ns-es', 'ns-fr'][CAST(conv_id % 4 AS INTEGER) + 1] AS namespace_id FROM conversations) c,
+  LATERAL (SELECT 'turn-' || number AS query_id, text AS query
+    UNION ALL SELECT 'conv-' || number, array_to_string(string_split(text, ' ')[1:2], ' ') WHERE role = 'user') q
+UNION ALL
+SELECT 'body-' || s.source_id, s.namespace_id, s.content FROM src s JOIN tips t ON t.source_id = s.source_id WHERE s.content <> ''
 UNION ALL
 SELECT 'doc-' || s.source_id, s.namespace_id, array_to_string(regexp_split_to_array(s.content, '\\s+')[1:3], ' ')
-FROM src s JOIN tips t ON t.source_id = s.source_id""")
+FROM src s JOIN tips t ON t.source_id = s.source_id WHERE s.content <> ''
+UNION ALL
+SELECT 'line-' || f.fragment_id, f.namespace_id, f.content FROM frag f JOIN tips t ON t.source_id = f.source_id"""
+)
 
 cte("phr", ["qs"], f"""
 SELECT query_id, namespace_id, row_number() OVER () AS phrase_no, toks, array_to_string(toks, ' ') AS phrase FROM (
@@ -180,22 +186,29 @@ SELECT object_kind, object_id, dl, phrase, count(*) AS tf FROM (
   GROUP BY ALL HAVING count(*) = p.n) w
 GROUP BY ALL""")
 
-cte("hits", ["post", "phr", "rows_"], f"""
+cte("asked", ["post", "phr"], """
+SELECT p.query_id, p.namespace_id, count(*) AS n_phr, arg_min(p.phrase, coalesce(d.df, 0)) AS rarest
+FROM phr p LEFT JOIN (SELECT phrase, count(*) AS df FROM post GROUP BY phrase) d ON d.phrase = p.phrase
+GROUP BY p.query_id, p.namespace_id""")
+
+cte("hits", ["post", "phr", "rows_", "asked"], f"""
 SELECT query_id, object_kind, object_id, score, rank FROM (
   SELECT query_id, object_kind, object_id, score,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_kind, object_id) AS rank
   FROM (
-    SELECT p.query_id, t.object_kind, t.object_id, count(*) AS m,
+    SELECT p.query_id, t.object_kind, t.object_id, a.n_phr, count(*) AS m,
       round(sum(CASE WHEN ln((c.n - d.df + 0.5) / (d.df + 0.5)) <= 0 THEN 0.000001 ELSE ln((c.n - d.df + 0.5) / (d.df + 0.5)) END
         * (t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / c.avg_dl)))), 6) AS score
-    FROM phr p
-    JOIN post t ON t.phrase = p.phrase
+    FROM asked a
+    JOIN post f ON f.phrase = a.rarest
+    JOIN (SELECT object_kind, object_id, namespace_id FROM rows_ WHERE {ELIGIBLE}) r
+      ON r.object_kind = f.object_kind AND r.object_id = f.object_id AND r.namespace_id = a.namespace_id
+    JOIN phr p ON p.query_id = a.query_id
+    JOIN post t ON t.phrase = p.phrase AND t.object_kind = f.object_kind AND t.object_id = f.object_id
     JOIN (SELECT phrase, count(*) AS df FROM post GROUP BY phrase) d ON d.phrase = p.phrase
-    JOIN (SELECT * FROM rows_ WHERE {ELIGIBLE}) r
-      ON r.object_kind = t.object_kind AND r.object_id = t.object_id AND r.namespace_id = p.namespace_id
     CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avg_dl FROM rows_) c
-    GROUP BY p.query_id, t.object_kind, t.object_id
-  ) s JOIN (SELECT query_id AS q, count(*) AS n_phr FROM phr GROUP BY query_id) k ON k.q = s.query_id AND s.m = k.n_phr
+    GROUP BY p.query_id, t.object_kind, t.object_id, a.n_phr
+  ) s WHERE m = n_phr
 ) WHERE rank <= 10""")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import nfc_digest
-from memlake.operators import context, versions
+from memlake.operators import context
 from memlake.plans.base_sql import cte, with_ctes
-from memlake.plans.recall_queries import batch_hits, rows
+from memlake.plans.recall_queries import batch_hits, recall_index, tip_fragments
 from memlake.plans.registry import query
 from memlake.plans.rule_queries import rule_sql
 from memlake.session import cut_lineage
@@ -34,14 +34,14 @@ def parts(spark, path):
     """Items and citations of all queries; the hits are computed once."""
     hits = cut_lineage(batch_hits(spark, path))
     r = bind.records(spark, path)
-    items = cut_lineage(context.context_items(hits, rows(spark, path)))
+    items = cut_lineage(context.context_items(hits, recall_index(spark, path).objects))
     return items, context.citations(items, r, bind.fragments(spark, path))
 
 
 @query("q8_context_items", with_ctes(["items"], f"SELECT {', '.join(ITEM)} FROM items"))
 def q8_context_items(spark, path):
     hits = cut_lineage(batch_hits(spark, path))
-    return context.context_items(hits, rows(spark, path)).select(*ITEM)
+    return context.context_items(hits, recall_index(spark, path).objects).select(*ITEM)
 
 
 @query("q8_citations", with_ctes(["cites"], """
@@ -68,7 +68,7 @@ SELECT query_id, count(*) FILTER (r <= 256) AS allowed, count(*) FILTER (r > 256
 FROM (SELECT query_id, sum(rendered_bytes) OVER (PARTITION BY query_id ORDER BY ordinal) AS r FROM items) GROUP BY query_id"""))
 def q10_budget_prefix(spark, path):
     hits = cut_lineage(batch_hits(spark, path))
-    return context.fit_budget(context.context_items(hits, rows(spark, path)), 256)
+    return context.fit_budget(context.context_items(hits, recall_index(spark, path).objects), 256)
 
 
 def faulty(spark, path):
@@ -109,7 +109,7 @@ SELECT DISTINCT 'V21' AS rule_id, 'ContextPack' AS object_type, query_id AS obje
     x=_BAD_ITEMS, y=_BAD_CITES))
 def v21_context_packs(spark, path):
     items, cited = faulty(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(bind.sources(spark, path)))
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
     return context.pack_rows(items, cited, qs.withColumn("task_digest", nfc_digest(F.col("query"))))
 
 

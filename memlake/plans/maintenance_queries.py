@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from memlake.functions import digest, temporal
 from memlake.functions.text import nfc, variants
-from memlake.operators import capture, chains, context, deletion, maintain, memory, metrics, rules, versions
-from memlake.operators.recall import recall_batch, recall_rows
+from memlake.operators import capture, chains, context, deletion, maintain, memory, metrics, postings, rules, versions
+from memlake.operators.recall import recall_rows
 from memlake.plans import context_queries as cq
 from memlake.plans import deletion_queries as dq
 from memlake.plans import faults
 from memlake.plans.base_sql import CTES, cte, tokens_sql, with_ctes
 from memlake.plans.memory_queries import found_conflicts, variants_sql
-from memlake.plans.recall_queries import PERSONAL, batch_hits, rows, tip_fragments
+from memlake.plans.recall_queries import PERSONAL, batch_hits, recall_index, rows, tip_fragments
 from memlake.plans.registry import query
 from memlake.session import cut_lineage
 from memlake.sources import bind
@@ -378,17 +378,20 @@ SELECT 'retrieval_recall_at_5' AS metric_id, count(h.query_id) AS numerator, cou
 FROM (SELECT query_id, substr(query_id, 5) AS s FROM qs WHERE query_id LIKE 'doc-%') q
 LEFT JOIN (SELECT DISTINCT query_id, regexp_replace(object_id, '-f[0-9]+$', '') AS s FROM hits WHERE rank <= 5) h ON h.query_id = q.query_id AND h.s = q.s"""))
 def e2_recall_at_5(spark, path):
-    s = bind.sources(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(s))
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
     return metrics.recall_at(hit_sources(batch_hits(spark, path)), expected_sources(qs), 5)
 
 
-cte("rows_n", ["rows_", "src0"], f"""
+# noise about other topics, and ten noise sources that repeat the opening of every second tip document
+cte("rows_n", ["rows_", "src0", "qs"], f"""
 SELECT * FROM rows_ UNION ALL
-SELECT 'source_fragment', 'noise-' || CAST(doc_id AS VARCHAR), namespace_id, 'personal', {_NOISE_SQL}, captured_at, 'until_deleted', NULL, NULL, {tokens_sql(_NOISE_SQL)} FROM src0""")
-for _name, _needs in (("occ", ["rows_n"]), ("post", ["occ_n", "phr"]), ("hits", ["post_n", "phr", "rows_n"])):
+SELECT 'source_fragment', 'noise-' || CAST(doc_id AS VARCHAR), namespace_id, 'personal', {_NOISE_SQL}, captured_at, 'until_deleted', NULL, NULL, {tokens_sql(_NOISE_SQL)} FROM src0
+UNION ALL
+SELECT 'source_fragment', 'echo-' || query_id || '-' || CAST(i AS VARCHAR), namespace_id, 'personal', query, TIMESTAMP '2024-01-01 00:00:00', 'until_deleted', NULL, NULL, {tokens_sql('query')}
+FROM qs, (SELECT unnest(range(10)) AS i) r WHERE query_id LIKE 'doc-%' AND query_id[-1:] IN ('0', '2', '4', '6', '8')""")
+for _name, _needs in (("occ", ["rows_n"]), ("post", ["occ_n", "phr"]), ("asked", ["post_n", "phr"]), ("hits", ["post_n", "phr", "rows_n", "asked_n"])):
     _body = CTES[_name][1]
-    for _old, _new in (("rows_", "rows_n"), ("occ", "occ_n"), ("post", "post_n")):
+    for _old, _new in (("rows_", "rows_n"), ("occ", "occ_n"), ("post", "post_n"), ("asked", "asked_n")):
         _body = re.sub(rf"\b{_old}\b", _new, _body)
     cte(f"{_name}_n", _needs, _body)
 
@@ -399,18 +402,29 @@ SELECT DISTINCT query_id FROM (
     a="SELECT query_id, regexp_replace(object_id, '-f[0-9]+$', '') AS s FROM hits WHERE query_id = 'doc-' || regexp_replace(object_id, '-f[0-9]+$', '')",
     b="SELECT query_id, regexp_replace(object_id, '-f[0-9]+$', '') AS s FROM hits_n WHERE query_id = 'doc-' || regexp_replace(object_id, '-f[0-9]+$', '')"))
 def q13_noise_drift(spark, path):
-    s = bind.sources(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(s))
-    base = rows(spark, path)
-    noise = s.select(
-        F.lit("source_fragment").alias("object_kind"), F.concat(F.lit("noise-"), F.col("doc_id").cast("string")).alias("object_id"),
-        "namespace_id", F.lit("personal").alias("sensitivity"), noise_text(F.col("doc_id"), 6048, NOISE).alias("content"),
-        F.col("captured_at").alias("available_at"), F.lit("until_deleted").alias("retention_mode"),
-        F.lit(None).cast("timestamp_ntz").alias("retention_expires_at"), F.lit(None).cast("string").alias("valid_mode"),
-        F.lit(None).cast("timestamp_ntz").alias("valid_start"), F.lit(None).cast("timestamp_ntz").alias("valid_end"),
+    """Document queries whose own source appears or disappears among the hits when noise is added.
+
+    The postings of the noise are merged with the stored ones; nothing is indexed twice.
+    """
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
+    opening = qs.filter(F.col("query_id").startswith("doc-"))
+    noise = bind.sources(spark, path).select(
+        F.concat(F.lit("noise-"), F.col("doc_id").cast("string")).alias("object_id"), "namespace_id",
+        noise_text(F.col("doc_id"), 6048, NOISE).alias("content"), F.col("captured_at").alias("available_at"),
     )
-    before = hit_sources(recall_batch(base, qs, bind.ntz(), 10, PERSONAL))
-    after = hit_sources(recall_batch(base.unionByName(noise), qs, bind.ntz(), 10, PERSONAL))
+    echoes = opening.filter(F.substring("query_id", -1, 1).isin(*"02468")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
+        F.concat(F.lit("echo-"), "query_id", F.lit("-"), F.col("i").cast("string")).alias("object_id"), "namespace_id",
+        F.col("query").alias("content"), bind.ntz("2024-01-01 00:00:00").alias("available_at"),
+    )
+    none = F.lit(None)
+    added = noise.unionByName(echoes).withColumns({
+        "object_kind": F.lit("source_fragment"), "sensitivity": F.lit("personal"), "retention_mode": F.lit("until_deleted"),
+        "retention_expires_at": none.cast("timestamp_ntz"), "valid_mode": none.cast("string"),
+        "valid_start": none.cast("timestamp_ntz"), "valid_end": none.cast("timestamp_ntz"),
+    })
+    base = recall_index(spark, path)
+    before = hit_sources(postings.recall_batch(base, qs, bind.ntz(), 10, PERSONAL))
+    after = hit_sources(postings.recall_batch(postings.merge(base, postings.build(added)), qs, bind.ntz(), 10, PERSONAL))
     return metrics.source_set_drift(before, after, expected_sources(qs))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import roots
 from memlake.operators import asof, chains, memory, versions
-from memlake.operators.recall import recall_batch
+from memlake.operators.postings import recall_batch
 from memlake.plans.base_sql import AS_OF, CTES, SET_DIGEST, cte, with_ctes
-from memlake.plans.recall_queries import PERSONAL, rows
+from memlake.plans.recall_queries import PERSONAL, recall_index, tip_fragments
 from memlake.plans.registry import query
 from memlake.sources import bind
 
@@ -306,7 +306,7 @@ def q7_contradictions(spark, path):
 
 def cloned(suffix: str, replaced: dict[str, tuple[list[str], str]], as_of: str = AS_OF) -> str:
     """Copies of the recall expressions that read another set of queries."""
-    chain = ["qs", "phr", "post", "hits"]
+    chain = ["qs", "phr", "post", "asked", "hits"]
     for name in chain:
         needs, body = replaced.get(name, CTES[name])
         for other in chain:
@@ -344,9 +344,8 @@ SELECT query_id, object_kind, object_id, rank, true FROM (
     SELECT DISTINCT t.query_id, h.object_kind, h.object_id FROM tries t JOIN hits_v h ON h.query_id = t.namespace_id || chr(1) || t.query))
 WHERE rank <= 10"""))
 def q5_recall_with_variants(spark, path):
-    s = bind.sources(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(s))
-    found = asof.recall_with_variants(rows(spark, path), qs, bind.ntz(), 10, PERSONAL)
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
+    found = asof.recall_with_variants(recall_index(spark, path), qs, bind.ntz(), 10, PERSONAL)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -361,7 +360,7 @@ def t2_query_current(spark, path):
     """Top-5 current values per namespace for each event type."""
     per = bind.proposals(spark, path).select("namespace_id", F.col("event_type").alias("query")).distinct()
     queries = per.withColumn("query_id", F.concat(F.lit("cur-"), "namespace_id", F.lit("-"), "query"))
-    hits = recall_batch(rows(spark, path), queries, bind.ntz("2024-02-01 00:00:00"), 5, PERSONAL)
+    hits = recall_batch(recall_index(spark, path), queries, bind.ntz("2024-02-01 00:00:00"), 5, PERSONAL)
     return hits.filter("object_kind = 'memory_record'").select(
         "query_id", "object_id", F.col("rank").cast("long").alias("rank")
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from memlake.functions.governance import eligible
 from memlake.functions.text import match_expression, tokens
-from memlake.operators import recall, versions
+from memlake.operators import postings, recall, versions
 from memlake.plans.base_sql import AS_OF, ELIGIBLE, tokens_sql, with_ctes
 from memlake.plans.registry import query
+from memlake.session import work_folder
 from memlake.sources import bind
 from memlake.sources.segment import segment_lines
 
@@ -29,6 +32,18 @@ def rows(spark, path):
     return recall.recall_rows(tip_fragments(spark, path), bind.records(spark, path))
 
 
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def recall_index(spark, path) -> postings.Index:
+    """The stored postings of the recall rows, written on first use in this application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _INDEXES:
+        folder = f"{work_folder(spark)}/recall-index/{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+        _INDEXES[key] = postings.write(rows(spark, path), folder)
+    return _INDEXES[key]
+
+
 @query("j1_recallable_fragments", with_ctes(["frag", "tips"], """
 SELECT f.fragment_id, f.source_id, f.lineage_id, f.version, f.byte_start, f.byte_end, f.content_digest
 FROM frag f JOIN tips t ON t.source_id = f.source_id AND t.version = f.version WHERE f.deletion_state = 'active'"""))
@@ -84,15 +99,13 @@ def a14_recall_statistics(spark, path):
 SELECT query_id, array_to_string(list_transform(list_filter(regexp_split_to_array(query, '[\s\p{Z}]+'), lambda t: t <> ''),
   lambda t: '"' || replace(t, '"', '""') || '"'), ' ') AS expression FROM qs"""))
 def q2_match_expressions(spark, path):
-    s = bind.sources(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(s))
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
     return qs.select("query_id", match_expression(F.col("query")).alias("expression"))
 
 
 def batch_hits(spark, path, k=10):
-    s = bind.sources(spark, path)
-    qs = bind.recall_queries(spark, path, versions.tips(s))
-    return recall.recall_batch(rows(spark, path), qs, bind.ntz(), k, PERSONAL)
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path))
+    return postings.recall_batch(recall_index(spark, path), qs, bind.ntz(), k, PERSONAL)
 
 
 @query("q1_recall", with_ctes(["hits"], """
@@ -120,7 +133,7 @@ SELECT * EXCLUDE (toks), len(toks) AS dl, len(list_filter(toks, lambda t: t = 't
 
 @query("q1_single_recall", with_ctes(["rows_"], _ONE, tf=_TF))
 def q1_single_recall(spark, path):
-    hits = recall.recall(rows(spark, path), "The WITH", bind.ntz(), 10, "ns-en", PERSONAL)
+    hits = postings.recall(recall_index(spark, path), "The WITH", bind.ntz(), 10, "ns-en", PERSONAL)
     return hits.select("object_kind", "object_id", "score")
 
 

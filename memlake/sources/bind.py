@@ -350,17 +350,25 @@ def object_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def recall_queries(spark: SparkSession, path: str, tips: DataFrame) -> DataFrame:
-    """(query_id, namespace_id, query): user turns, and the opening of each tip document."""
+def recall_queries(spark: SparkSession, path: str, tip_fragments: DataFrame) -> DataFrame:
+    """(query_id, namespace_id, query): what is asked of recall.
+
+    Whole texts, as conjunctions of all their words: every turn of every role (``turn-``),
+    every tip document (``body-``) and every fragment of one (``line-``). Short questions: the
+    first two words of a user turn (``conv-``) and the first three of a tip document (``doc-``).
+    """
     spaces = F.array(*[F.lit(f"ns-{lang}") for lang in ("de", "en", "es", "fr")])
-    turns = table(spark, path, "conversations").filter("role = 'user'").select(
-        F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"),
-        F.element_at(spaces, (F.pmod("conv_id", F.lit(4)) + 1).cast("int")).alias("namespace_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("query"),
-    )
-    docs = sources(spark, path).join(tips.select("source_id"), "source_id").select(
-        F.concat(F.lit("doc-"), "source_id").alias("query_id"),
-        "namespace_id",
-        F.array_join(F.slice(F.split("content", r"\s+"), 1, 3), " ").alias("query"),
+    number = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    turns = table(spark, path, "conversations").select("role", number.alias("number"), F.element_at(spaces, (F.pmod("conv_id", F.lit(4)) + 1).cast("int")).alias("namespace_id"), "text")
+    docs = sources(spark, path).join(tip_fragments.select("source_id").distinct(), "source_id")
+
+    def asked(rows: DataFrame, prefix: str, number: str, query: Column) -> DataFrame:
+        return rows.select(F.concat(F.lit(prefix), number).alias("query_id"), "namespace_id", query.alias("query"))
+
+    return (
+        asked(turns, "turn-", "number", F.col("text"))
+        .unionByName(asked(docs, "body-", "source_id", F.col("content")))
+        .unionByName(asked(tip_fragments, "line-", "fragment_id", F.col("content")))
+        .unionByName(asked(turns.filter("role = 'user'"), "conv-", "number", F.array_join(F.slice(F.split("text", " "), 1, 2), " ")))
+        .unionByName(asked(docs, "doc-", "source_id", F.array_join(F.slice(F.split("content", r"\s+"), 1, 3), " ")))
     )
-    return turns.unionByName(docs)
