@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 from array import array
@@ -48,32 +49,71 @@ ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("nulls", pa.bool_()), ("start", pa.int64()), ("dictionary", pa.string())])
 
 
-class WordIds(dict):
-    """Ids of the words of a text, little-endian unsigned 32-bit, by the tokenizers library.
+class Recent(dict):
+    """Values by key, made on demand; of keys not asked for lately some ``limit`` are forgotten at a time."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of a text, little-endian unsigned 32-bit, by the tokenizers library, word by word.
 
     Right for vocabularies whose pieces never reach over white space, as where white space is
-    dropped: the ids of a text are those of its words one after another. At most ``limit`` words are kept.
+    dropped: the ids of a text are those of its words one after another. ``lower``: the
+    vocabulary also lower-cases, and ends a piece between letters, digits and signs. Then
+    words are looked up in lower case, signs at their end apart, and words of Latin letters
+    only go to the merges of the model at once. Texts with the start of an added token are
+    encoded at once.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    _LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+    def __init__(self, path: str, lower: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.lower = Tokenizer.from_file(path), lower
+        self.model = self.tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.added = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = Recent(self._word, limit)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        value = self.whole(word.decode())
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+    def _word(self, word: bytes) -> bytes:
+        if not self.lower:
+            return self.whole(word.decode())
+        stem = word.rstrip(self._SIGNS)
+        if len(stem) < len(word) and stem[-1:].isalnum():
+            return self.words[stem] + self.words[word[len(stem) :]]
+        text = word.decode()
+        if self._LETTERS.fullmatch(text):
+            return array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        return self.whole(text)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        raw = text.encode()
+        if any(a in raw for a in self.added):
+            return self.whole(text)
+        if self.lower:
+            raw = raw.lower()  # bytes: ASCII letters only
+        return b"".join(map(self.words.__getitem__, raw.split()))
 
 
 _encoders: dict[str, WordIds] = {}
@@ -159,7 +199,11 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 def _dictionary(content: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressionDict(content) if content else None
+    if not content:
+        return None
+    made = zstandard.ZstdCompressionDict(content)
+    made.precompute_compress(level=LEVEL)
+    return made
 
 
 @dataclass
