@@ -81,7 +81,7 @@ class WordIds:
     _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, lower: bool = True, limit: int = 400_000):
+    def __init__(self, path: str, lower: bool = True, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -130,16 +130,20 @@ def encoder(path: str | None) -> WordIds:
     return _encoders[path]
 
 
-def _encode(path: str | None, end_id: int, by_words: bool):
-    end = array("I", [end_id]).tobytes()
+def _coder(path: str | None, end_id: int, by_words: bool):
+    """Ids of a text, null being empty, and ``end_id``."""
+    words, end = encoder(path), array("I", [end_id]).tobytes()
+    encode = words.encode if by_words else words.whole
+    return lambda text: encode(text or "") + end
+
 
+def _encode(path: str | None, end_id: int, by_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
-        encode = words.encode if by_words else words.whole
+        coded = _coder(path, end_id, by_words)
         for b in batches:
             at, held, size = 0, [], 0
             for i, text in enumerate(b["text"]):
-                held.append(encode(text.as_py() or "") + end)
+                held.append(coded(text.as_py()))
                 size += len(held[-1])
                 if size >= 4 * BATCH_IDS or i + 1 == len(b):
                     yield pa.RecordBatch.from_arrays([b["doc_id"][at : i + 1], pa.array(held, pa.binary())], names=["doc_id", "ids"])
@@ -220,6 +224,7 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.folder, self.name, self.width = options["path"], options["dictionary"], int(options["width"])
+        self.texts = (options.get("tokenizer"), int(options.get("end_id", 2)), options.get("by_words", "true") == "true")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         import zstandard
@@ -232,10 +237,15 @@ class _Writer(DataSourceArrowWriter):
         ids, counts, ends, at = [], array("q"), array("q"), HEADER.size
         with fs.open_output_stream(f"{root}/{file}") as out:
             out.write(HEADER.pack(MAGIC, self.width, bytes.fromhex(self.name)))
+            coded = None
             for batch in iterator:
                 ids.append(batch["doc_id"].cast(pa.int64()))
-                for row in batch["ids"]:
-                    value = row.as_py()
+                if "text" in batch.schema.names:
+                    coded = coded or _coder(*self.texts)
+                    values = (coded(row.as_py()) for row in batch["text"])
+                else:
+                    values = (row.as_py() for row in batch["ids"])
+                for value in values:
                     frame = compressor.compress(narrow(value, self.width))
                     out.write(frame)
                     at += len(frame)
@@ -346,7 +356,10 @@ class _Reader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """``token_ids``: (doc_id, ids) is written, (doc_id, start, n_tokens, ids) is read."""
+    """``token_ids``: (doc_id, ids) or (doc_id, text) is written, (doc_id, start, n_tokens, ids) is read.
+
+    Texts are encoded by the task that writes them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -386,7 +399,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     parts = max(-(-total // file_chars), min(4 * spark.sparkContext.defaultParallelism, -(-total // (4 << 20))), 1)
     rows = docs.select("doc_id", "text").withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     dealt = rows.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "text")
-    encode(dealt, path, end_id, by_words).write.format("token_ids").option("path", folder).option("dictionary", name).option("width", width).mode("append").save()
+    out = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.format("token_ids").option("path", folder).option("dictionary", name).option("width", width)
+    out = out.option("end_id", end_id).option("by_words", str(by_words).lower())
+    (out.option("tokenizer", path) if path else out).mode("append").save()
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
