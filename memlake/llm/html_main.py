@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_PAGES = 400
+FIT_CHARS = 1 << 18
 EPOCHS = 6
 
 # Element names with a meaning in HTML.
@@ -27,10 +28,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|comments?|commentlist|replies|disqus|respond|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead"
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|social|share|sharing|related|recommended|toolbar|pagination|pager|login|search)(?:$|[\s_-])",
     re.I,
 )
+#: What readers wrote is no article text, however much of the page it is.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|disqus|respond)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -68,7 +71,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, at, at + (1 << 16)) or _LOOSE.match(page, at)
+        m = _TAG.match(page, at) or _LOOSE.match(page, at)
         if not m:
             yield "text", "", "<"
             at += 1
@@ -95,22 +98,27 @@ def scored(page: str) -> list[tuple[str, int, str, bool]]:
     for kind, name, value in raw:
         words.append(words[-1] + (len(_WORD.findall(value)) if kind == "text" else 0))
         mains.append(mains[-1] + (kind == "open" and name in ("article", "main")))
-    # an element to leave out reaches to the close tag that balances it; one that is marked
-    # by its class alone is kept if it holds the main element or most of the page
-    for name in {t[1] for t in raw if t[0] == "open"}:
-        if name in VOID:
+    # an element to leave out reaches to the close tag that balances it; one that is marked by its
+    # class alone is kept if it holds the main element, or most of the page and no readers' text
+    open_: dict[str, list[tuple[int, bool, bool]]] = {}
+    edges = [0] * (len(raw) + 1)
+    for i, (kind, name, marks) in enumerate(raw):
+        if kind == "text" or name in VOID:
             continue
-        stack = []
-        for i, (kind, other, marks) in enumerate(raw):
-            if other != name:
-                continue
-            if kind == "open":
-                stack.append((i, name in BOILERPLATE or bool(MARKED.search(marks)) and name not in ("body", "html", "article", "main")))
-            elif stack:
-                start, out = stack.pop()
-                whole = mains[i] > mains[start + 1] or 2 * (words[i] - words[start]) > words[-1]
-                if out and (name in BOILERPLATE or not whole):
-                    drop[start : i + 1] = [True] * (i + 1 - start)
+        if kind == "open":
+            marked = bool(marks) and name not in ("body", "html", "article", "main")
+            readers = marked and bool(READERS.search(marks))
+            open_.setdefault(name, []).append((i, name in BOILERPLATE or readers or marked and bool(MARKED.search(marks)), readers))
+        elif open_.get(name):
+            start, out, readers = open_[name].pop()
+            whole = mains[i] > mains[start + 1] or not readers and 2 * (words[i] - words[start]) > words[-1]
+            if out and (name in BOILERPLATE or not whole):
+                edges[start] += 1
+                edges[i + 1] -= 1
+    depth = 0
+    for i in range(len(raw)):
+        depth += edges[i]
+        drop[i] = depth > 0
     out, link = [], 0
     for i, ((kind, name, value), gone) in enumerate(zip(raw, drop, strict=True)):
         if kind == "text":
@@ -129,19 +137,20 @@ def start_score(kind: str) -> float:
     if kind in START:
         return START[kind]
     name, _, mark = kind.lstrip("/").partition(".")
-    return BOILERPLATE_TAG if name in BOILERPLATE or MARKED.search(mark) else TAG
+    return BOILERPLATE_TAG if name in BOILERPLATE or MARKED.search(mark) or READERS.search(mark) else TAG
 
 
 def best_region(items, scores: dict[str, float]) -> tuple[int, int]:
     """Start and end of the run with the largest sum; the first and longest of equals.
 
-    Words that are left out anyway earn nothing.
+    What is left out anyway counts nothing, so text on both sides of it stays together.
     """
     best, region, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, n, _, gone) in enumerate(items):
+        if gone:
+            continue
         s = scores.get(kind)
-        s = start_score(kind) if s is None else s
-        total += n * (min(0.0, s) if gone else s)
+        total += n * (start_score(kind) if s is None else s)
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best or total == best and region[0] == start and best:
@@ -172,7 +181,8 @@ def learn(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
             change = Counter()
             if (x, y) != (a, b):
                 for i, sign in [(i, 1) for i in range(a, b) if not x <= i < y] + [(i, -1) for i in range(x, y) if not a <= i < b]:
-                    change[items[i][0]] += sign * items[i][1]
+                    if not items[i][3]:
+                        change[items[i][0]] += sign * items[i][1]
             largest = max((abs(v) for v in change.values()), default=1) or 1
             for kind, v in change.items():
                 s = scores.get(kind, start_score(kind)) + 2.0 / (1 + epoch) * v / largest
@@ -194,10 +204,12 @@ def extract(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     Scores come from at most ``fit_pages`` pages that mark their region (hash order); with
-    none, the start scores hold. Null and empty pages give an empty text. Only page_id, url
-    and html are read; nulls and repeats in page_id and url are kept as they are.
+    none, the start scores hold. Pages of more than ``FIT_CHARS`` characters are not learned
+    from; all are extracted, whatever their length, one at a time. Null and empty pages give an
+    empty text, an empty table an empty one. Only page_id, url and html are read; nulls and
+    repeats in page_id and url are kept as they are.
     """
-    has = F.col("html").rlike(r"(?i)<(?:article|main)[\s>]") & (F.length("html") <= 1 << 18)
+    has = F.col("html").rlike(r"(?i)<(?:article|main)[\s>]") & (F.length("html") <= FIT_CHARS)
     marked = pages.filter(has).select(F.xxhash64("html").alias("h"), "html")
     first = [r[0] for r in marked.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
     # one page per hash, so that copies do not count twice

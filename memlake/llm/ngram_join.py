@@ -328,12 +328,13 @@ def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     other = F.when(known, (F.col("doc_id") != F.col("low_id")) | (F.col("key") != F.col("low_key"))).otherwise(F.col("key") != F.col("free"))
     gone = stored(rows.join(small_side(kept), "component").filter(other).select(F.col("key").alias("_key"), F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = stored(rows.groupBy("key", "doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"), F.col("doc_id").alias("_gone")), "again")
-    keyed = docs.withColumn("_row", _row_key())
-    same = (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
+    # the row travels as one struct, so its columns may have any name
+    keyed = docs.select(F.struct("*").alias("_doc"), _row_key().alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    same = (F.col("_row") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_gone"))
     keyed = keyed.join(small_side(gone), same, "left_anti")
     if not again.limit(1).count():
-        return keyed.drop("_row")
+        return keyed.select("_doc.*")
     # rows that agree in doc_id and text: the first by their other columns
-    order = [F.col(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
-    one = keyed.join(small_side(again), same, "left_semi").groupBy("_row", "doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.struct(*order) if order else F.lit(0)).alias("_one"))
-    return keyed.join(small_side(again), same, "left_anti").drop("_row").unionByName(one.select("_one.*"))
+    order = [F.col("_doc").getField(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
+    one = keyed.join(small_side(again), same, "left_semi").groupBy("_row", "_id", F.col("_doc.text").alias("_text")).agg(F.min_by("_doc", F.struct(*order) if order else F.lit(0)).alias("_doc"))
+    return keyed.join(small_side(again), same, "left_anti").select("_doc.*").unionByName(one.select("_doc.*"))

@@ -12,6 +12,7 @@ into sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -33,16 +34,19 @@ class Tokens(dict):
 
     The vocabulary splits a text into pieces that never reach over the edge between a
     character and white space after it, so the encoding of a text is that of its units one
-    after another. At most ``limit`` units are kept.
+    after another. At most ``limit`` units are kept. ``added`` are tokens that stand for their
+    own string wherever it occurs in a text; what lies between them is encoded by itself.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, added: dict[str, int], limit: int = 300_000):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
         self.encoder = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.limit = limit
+        self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else None
 
     def __missing__(self, unit: str) -> bytes:
         value = array("I", self.encoder.encode_ordinary(unit)).tobytes()
@@ -53,7 +57,17 @@ class Tokens(dict):
         return value
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text; long texts go in slices that end where a unit ends."""
+        """Ids of the text, its added tokens first taken out."""
+        if self.cut is None or not any(t in text for t in self.added):
+            return self._between(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._between(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._between(text[at:])])
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens; long ones go in slices that end where a unit ends."""
         out, at = [], 0
         while at < len(text):
             end = len(text)
@@ -68,13 +82,21 @@ class Tokens(dict):
 _tokens: dict[str, Tokens] = {}
 
 
-def tokens(path: str | None) -> Tokens:
-    """The encoder of this worker for the rank file ``path`` (default: the public byte BPE)."""
+def tokens(path: str | None, definition: str | None = None) -> Tokens:
+    """The encoder of this worker for the rank file ``path`` and the added tokens of ``definition``.
+
+    By default both are files of the public byte BPE; a rank file alone has no added tokens.
+    """
     import public_tokenizers
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    if path is None:
+        path, definition = public_tokenizers.path("byte_bpe_50k.tiktoken"), definition or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _tokens:
-        _tokens[path] = Tokens(path, public_tokenizers.PATTERN)
+        added = {}
+        if definition:
+            with open(definition, encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        _tokens[path] = Tokens(path, public_tokenizers.PATTERN, added)
     return _tokens[path]
 
 

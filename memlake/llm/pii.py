@@ -70,7 +70,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -84,9 +84,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # -- candidates ------------------------------------------------------------------------
 
-_SIGN = re.compile(r"@|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20)", re.I)
-_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-_AFTER = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,8}", re.I)
+_SIGN = re.compile(r"@|\x20?[(\[]at[)\]]\x20?|\x20at\x20(?=[A-Za-z0-9-]++\x20dot\x20)", re.I)
+_BEFORE = re.compile(r"[A-Za-z0-9._%+-]++")  # on the text read backwards
+_AFTER = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++", re.I)
 _NUMBER = re.compile(r"[+(]{0,2}[0-9][0-9\x20().-]*[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _HINTS = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|schreib|écri|escrib", r"\bip\b|host|server|addr|dns", r"card|visa|karte|carte|tarjeta|pay", r"phone|tel|call|fax|mobil|ruf"))
@@ -96,10 +96,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all kinds; they may overlap."""
     out = []
     if "@" in text or "at" in text:
-        for m in _SIGN.finditer(text):
-            a, b = _BEFORE.search(text, max(0, m.start() - 64), m.start()), _AFTER.match(text, m.end())
+        signs = list(_SIGN.finditer(text))
+        back = text[::-1] if signs else ""
+        for m in signs:
+            a, b = _BEFORE.match(back, len(text) - m.start()), _AFTER.match(text, m.end())
             if a and b:
-                out.append(("email", a.start(), b.end()))
+                out.append(("email", len(text) - a.end(), b.end()))
     for m in _NUMBER.finditer(text):
         out += _parts(text, m.start(), m.end())
     return out
@@ -176,16 +178,19 @@ def _invented(kind: str, rng: random.Random) -> str:
 
 
 def _variants(rows: list[tuple]) -> list[tuple]:
-    """The sampled strict matches, other spellings of them, and near misses in their contexts."""
+    """The sampled strict matches, other spellings of them, and near misses in their contexts.
+
+    The last value of a row is the number of the match it was made from.
+    """
     rng = random.Random(5)
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     seeds = list(rows)
     for kind in KINDS:
         for _ in range(SEEDS):
             seeds.append((kind, 1.0, "to the ", _invented(kind, rng), " and"))
-    out = list(seeds)
-    for kind, _, before, s, after in seeds:
-        put = lambda span, label, kind=kind, before=before, after=after: out.append((kind, label, before, span, after))
+    out = [(*seed, i) for i, seed in enumerate(seeds)]
+    for i, (kind, _, before, s, after) in enumerate(seeds):
+        put = lambda span, label, kind=kind, before=before, after=after, i=i: out.append((kind, label, before, span, after, i))
         if kind == "email":
             put(s.replace("@", " (at) "), 1.0)
             put(s.replace("@", " at ").replace(".", " dot "), 1.0)
@@ -286,10 +291,11 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[Trees, dict[str, float]]
     """Trees and a threshold per kind, from at most ``rows`` strict matches (hash order, all texts proposed)."""
     found = docs.select("text").mapInArrow(_propose, _SAMPLE).distinct().orderBy("h", "kind", "span").limit(rows).collect()
     data = _variants([tuple(r)[1:] for r in found])
-    x = np.array([describe(k, b + s + a, len(b), len(b) + len(s)) for k, _, b, s, a in data])
+    x = np.array([describe(k, b + s + a, len(b), len(b) + len(s)) for k, _, b, s, a, _ in data])
     y = np.array([r[1] for r in data])
     kinds = np.array([r[0] for r in data])
-    back = np.random.default_rng(3).random(len(y)) < 0.3
+    seed = np.array([r[5] for r in data])
+    back = (np.random.default_rng(3).random(seed.max() + 1) < 0.3)[seed]  # all that was made of one match on one side
     model = Trees(x[~back], y[~back])
     p, limits = model(x[back]), {}
     for k in KINDS:

@@ -74,31 +74,32 @@ def _first_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return first
 
 
-_FRAME = "owner long, digest long, doc_id long, start long, n long, done boolean"
+_FRAME = "owner long, digest long, doc_id long, h long, start long, n long, done boolean"
 
 
 def _framed(length: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, data, offsets in slices(batch.column(1)):
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, data, offsets in slices(batch.column(2)):
                 owner, digest, doc, start, count = frames(data, offsets, length)
+                h = keys[row : row + len(offsets) - 1][doc]
                 doc = ids[row : row + len(offsets) - 1][doc]
-                order = np.lexsort((start, doc, digest, owner))
+                order = np.lexsort((start, h, doc, digest, owner))
                 done = ~_first_of(order, owner, digest)
-                owner, digest, doc, start, count = (x[order] for x in (owner, digest, doc, start, count))
+                owner, digest, doc, h, start, count = (x[order] for x in (owner, digest, doc, h, start, count))
                 # what repeats here is settled; it travels under keys of its own, evenly
                 owner = np.where(done, mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)), owner)
-                yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(start), pa.array(count), pa.array(done)], names=[c.split()[0] for c in _FRAME.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(h), pa.array(start), pa.array(count), pa.array(done)], names=[c.split()[0] for c in _FRAME.split(", ")])
 
     return run
 
 
 def _settle(batches):
-    """Over frames sorted by owner, digest, doc_id, start: repeats are marked done, frames that
+    """Over frames sorted by owner, digest, doc_id, h, start: repeats are marked done, frames that
     share their owner with others are kept, frames alone are dropped. The first and last
     owners of a partition may go on in the next one, so they count as shared."""
-    names = ["owner", "doc_id", "start", "n", "done"]
+    names = ["owner", "doc_id", "h", "start", "n", "done"]
     edge = last = None  # owner at the start of the partition; (owner, digest) before the batch
     held = None  # the latest first frame, if nothing before it shares its owner
 
@@ -106,7 +107,7 @@ def _settle(batches):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
 
     for batch in batches:
-        owner, digest, doc, start, n, done = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        owner, digest, doc, h, start, n, done = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         settled = done.copy()
         free = np.flatnonzero(~done)
         o, d = owner[free], digest[free]
@@ -129,12 +130,12 @@ def _settle(batches):
                 held = None
                 if not shared[-1]:
                     i = free[lead[-1:]]
-                    held = [owner[i], doc[i], start[i], n[i], np.array([False])]
+                    held = [owner[i], doc[i], h[i], start[i], n[i], np.array([False])]
             last = (o[-1], d[-1])
             keep = np.sort(np.concatenate([np.flatnonzero(settled), free[lead[shared]]]))
         else:
             keep = np.flatnonzero(settled)
-        yield out([owner[keep], doc[keep], start[keep], n[keep], settled[keep]])
+        yield out([owner[keep], doc[keep], h[keep], start[keep], n[keep], settled[keep]])
     if held is not None:
         yield out(held)
 
@@ -209,7 +210,7 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, l
                     stack.append([now, begin, seen])
 
 
-_SPAN = "doc_id long, start long, stop long"
+_SPAN = "doc_id long, h long, start long, stop long"
 
 
 def recurring_parts(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int):
@@ -232,29 +233,30 @@ def _scan_bundle(least: int):
         whole = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         begins = ends - np.array([len(p) for p in parts])
-        docs, at = group["doc_id"].to_numpy(), group["start"].to_numpy()
+        docs, keys, at = (group[c].to_numpy() for c in ("doc_id", "h", "start"))
         # bytes outside recurring windows are in no repeat and are not sorted
         part, first, last = recurring_parts(whole, begins, ends, least)
         if not len(part):
-            return pa.table([pa.array(np.zeros(0, np.int64))] * 3, names=["doc_id", "start", "stop"])
-        docs, at = docs[part], at[part] + first - begins[part]
+            return pa.table([pa.array(np.zeros(0, np.int64))] * 4, names=["doc_id", "h", "start", "stop"])
+        docs, keys, at = docs[part], keys[part], at[part] + first - begins[part]
         text = np.concatenate([whole[a:b] for a, b in zip(first, last, strict=True)])
         ends = np.cumsum(last - first)
         begins = ends - (last - first)
         order, common = suffix_array(text, ends)
         part = np.searchsorted(ends, order, "right")
-        doc, place = docs[part], at[part] + order - begins[part]
+        doc, key, place = docs[part], keys[part], at[part] + order - begins[part]
         before = np.concatenate([[-1], text[:-1].astype(np.int64)])
         before[begins] = -1  # the window one byte before does not recur here, or belongs to another frame
         out = []
         for a, b, length in maximal_repeats(order, common, before, least):
-            d, s = doc[a : b + 1], place[a : b + 1]
+            d, k, s = doc[a : b + 1], key[a : b + 1], place[a : b + 1]
             later = np.ones(len(d), bool)
-            later[np.lexsort((s, d))[0]] = False
-            out.append((d[later], s[later], s[later] + length))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        found = pa.table([pa.array(c) for c in columns], names=["doc_id", "start", "stop"])
-        return found.group_by(["doc_id", "start"]).aggregate([("stop", "max")]).rename_columns(["doc_id", "start", "stop"])
+            later[np.lexsort((s, k, d))[0]] = False
+            out.append((d[later], k[later], s[later], s[later] + length))
+        names = ["doc_id", "h", "start", "stop"]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        found = pa.table([pa.array(c) for c in columns], names=names)
+        return found.group_by(names[:3]).aggregate([("stop", "max")]).rename_columns(names)
 
     return run
 
@@ -264,7 +266,7 @@ def _windows(length: int):
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in slices(batch.column(2)):
+            for row, data, offsets in slices(batch.column(3)):
                 count = np.maximum(0, np.diff(offsets) - length + 1)
                 if not count.sum():
                     continue
@@ -276,61 +278,81 @@ def _windows(length: int):
                     sums = prefix_sums(data, seed)
                     hashes.append(mixed((sums[a + length] - sums[a]) * powers(len(data) + 1)[1][a]))
                 doc = batch.column(0).to_numpy()[row + which]
-                start = batch.column(1).to_numpy()[row + which] + inner
-                order = np.lexsort((start, doc, hashes[1], hashes[0]))
+                h = batch.column(1).to_numpy()[row + which]
+                start = batch.column(2).to_numpy()[row + which] + inner
+                order = np.lexsort((start, h, doc, hashes[1], hashes[0]))
                 done = ~_first_of(order, *hashes)
                 w1 = np.where(done, mixed(doc[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[order].astype(np.uint64)), hashes[0][order])
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(hashes[1][order].view(np.int64)), pa.array(doc[order]), pa.array(start[order]), pa.array(done)], names=["w1", "w2", "doc_id", "start", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(hashes[1][order].view(np.int64)), pa.array(doc[order]), pa.array(h[order]), pa.array(start[order]), pa.array(done)], names=["w1", "w2", "doc_id", "h", "start", "done"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, stop): byte ranges, which may overlap, whose union is all that repeats.
+def keyed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, text) of all rows, and of each different (doc_id, text) once.
+
+    ``h`` tells texts under one doc_id apart; it is 0 where a doc_id has one row.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = stored(texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    if not again.limit(1).count():
+        keyed = texts.select("doc_id", F.lit(0).cast("long").alias("h"), "text")
+        return keyed, keyed
+    texts = texts.join(small_side(again), "doc_id", "left")
+    keyed = texts.select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("h"), "text", "again")
+    once = keyed.filter("again").dropDuplicates(["doc_id", "h"]).unionByName(keyed.filter("again IS NULL"))
+    return keyed.drop("again"), once.drop("again")
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, h, start, stop): byte ranges, which may overlap, whose union is all that repeats.
 
     A byte repeats when a string of ``length`` bytes around it also starts earlier: in a
-    smaller doc_id, or before it in the same text. ``docs`` needs doc_id and text; rows with
-    a null in either take no part. Rows that repeat a doc_id count as one document's texts,
-    equal ones as one text.
+    smaller (doc_id, h), or before it in the same text. ``texts`` are those of
+    :func:`keyed_texts`, each once; rows with a null doc_id or text take no part.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    whole = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("stop"))
+    spark = texts.sparkSession
+    row = ["doc_id", "h"]
+    texts = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    whole = texts.select(*row, F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("stop"))
     # the classes are stored on their own, so that a join on a digest many texts share can be split
-    first = stored(whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first"), "copy-classes")
-    copies = stored(whole.join(small_side(first, 200_000), "sha").filter("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), "stop"), "whole-copies")
-    rest = texts.join(small_side(copies.select("doc_id").distinct()), "doc_id", "left_anti")
-    framed = rest.mapInArrow(_framed(length), _FRAME).repartitionByRange("owner", "digest").sortWithinPartitions("owner", "digest", "doc_id", "start")
-    found = stored(framed.mapInArrow(_settle, "owner long, doc_id long, start long, n long, done boolean"), "frames")
+    first = stored(whole.groupBy("sha").agg(F.min(F.struct(*row)).alias("first"), F.max(F.struct(*row)).alias("last")).filter("first < last").select("sha", "first"), "copy-classes")
+    copies = stored(whole.join(small_side(first, 200_000), "sha").filter(F.struct(*row) > F.col("first")).select(*row, F.lit(0).cast("long").alias("start"), "stop"), "whole-copies")
+    rest = texts.join(small_side(copies.select(*row).distinct()), row, "left_anti")
+    framed = rest.select(*row, "text").mapInArrow(_framed(length), _FRAME).repartitionByRange("owner", "digest").sortWithinPartitions("owner", "digest", *row, "start")
+    found = stored(framed.mapInArrow(_settle, "owner long, doc_id long, h long, start long, n long, done boolean"), "frames")
     release(spark)
-    equal = found.filter("done").select("doc_id", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
+    equal = found.filter("done").select(*row, "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
     open_ = found.filter("NOT done")
-    lists = open_.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "start", "n")).alias("frames"))
-    read = rest.join(small_side(open_.select("doc_id").distinct()), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "frames")
+    lists = open_.groupBy(*row).agg(F.collect_list(F.struct("owner", "start", "n")).alias("frames"))
+    read = rest.join(small_side(open_.select(*row).distinct()), row, "left_semi").join(lists, row).select(*row, F.encode("text", "UTF-8").alias("raw"), "frames")
     piece = lambda f: F.struct(f["owner"].alias("owner"), f["start"].alias("start"), F.substring(F.col("raw"), f["start"].cast("int") + 1, (f["n"] + (length - 1)).cast("int")).alias("bytes"))
-    pieces = stored(read.select("doc_id", F.inline(F.transform("frames", piece))), "frame-bytes")
+    pieces = stored(read.select(*row, F.inline(F.transform("frames", piece))), "frame-bytes")
     release(spark)
     owners = pieces.groupBy("owner").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("size"))
     crowded = stored(owners.filter(F.col("n") > CROWD).select("owner"), "crowded")
     bundles = max(1, -(-(pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0) // BUNDLE_BYTES))
     few = pieces.join(small_side(crowded), "owner", "left_anti").withColumn("bundle", F.pmod(F.xxhash64("owner"), F.lit(bundles)))
-    groups = few.select("bundle", "doc_id", "start", "bytes").groupBy("bundle").applyInArrow(_scan_bundle(length), _SPAN)
-    many = pieces.join(small_side(crowded), "owner", "left_semi").select("doc_id", "start", "bytes").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, start long, done boolean")
+    groups = few.select("bundle", *row, "start", "bytes").groupBy("bundle").applyInArrow(_scan_bundle(length), _SPAN)
+    many = pieces.join(small_side(crowded), "owner", "left_semi").select(*row, "start", "bytes").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, h long, start long, done boolean")
     here = many.filter("NOT done")
-    earliest = here.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("one"))
-    later = here.join(earliest, ["w1", "w2"]).filter(F.struct("doc_id", "start") > F.col("one")).select("doc_id", "start")
-    single = many.filter("done").select("doc_id", "start").union(later).select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    earliest = here.groupBy("w1", "w2").agg(F.min(F.struct(*row, "start")).alias("one"))
+    later = here.join(earliest, ["w1", "w2"]).filter(F.struct(*row, "start") > F.col("one")).select(*row, "start")
+    single = many.filter("done").select(*row, "start").union(later).select(*row, "start", (F.col("start") + length).alias("stop"))
     return copies.union(equal).union(stored(groups, "repeat-groups")).union(single)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, removed (merged start, stop pairs) and kept_sha256, one row per row of ``docs``.
 
-    Null texts count as empty; null doc_ids keep all. Rows that repeat a doc_id lose the
-    same ranges.
+    Null texts count as empty; null doc_ids keep all. Rows that agree in doc_id and text lose
+    the same ranges. Different texts under one doc_id are documents of their own, in the order
+    of their hashes. Texts may be very long: a task holds slices of them, and the frames that
+    may repeat of one text. An empty table gives an empty one.
     """
-    spans = repeated_spans(docs, length)
-    lists = stored(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    texts, once = keyed_texts(docs)
+    spans = repeated_spans(once, length)
+    lists = stored(spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
     merged = "array<struct<start:long,stop:long>>"
     item = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -349,11 +371,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, item), pa.array(kept, pa.binary())], names=["doc_id", "removed", "kept"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = lists.select("doc_id")
-    changed = texts.join(small_side(ids), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, removed {merged}, kept binary")
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    ids, row = lists.select("doc_id", "h"), ["doc_id", "h"]
+    changed = texts.join(small_side(ids), row, "left_semi").join(lists, row).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, removed {merged}, kept binary")
     kept = F.col("c.kept")
-    same = texts.join(small_side(ids), "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(merged).alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+    same = texts.join(small_side(ids), row, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(merged).alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
     length_of = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
     done = changed.alias("c").select("doc_id", (F.length(kept) + length_of).cast("long").alias("n_bytes"), "removed", F.sha2(kept, 256).alias("kept_sha256"))
     return same.union(done)

@@ -35,13 +35,15 @@ WEAK = {
 #: part -> parts of which at least one must stand near a weak candidate of that part
 NEEDS = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
 KINDS = (*BASE, *WEAK)
+#: Matches that one array is grown to before the next is begun.
+STEP = 256
 
 
 def spans(text: Column, kind: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of (start, kind number, end), in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    span = "struct<start:bigint,kind:int,end:bigint>"
+    empty, none = F.array().cast(f"array<{span}>"), F.array().cast(f"array<array<{span}>>")
 
     def walk(pieces: Column, matches: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
@@ -51,7 +53,16 @@ def spans(text: Column, kind: str, pattern: str) -> Column:
             good = F.length(F.regexp_extract(F.get(matches, i), _ASSIGN, 2)) >= 6 if kind == "assign" else F.lit(True)
             return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step)["out"]
+        def block(state: Column, b: Column) -> Column:
+            """The next ``STEP`` matches: arrays grow by copying, so short ones are made and joined at the end."""
+            last = F.least((b + 1) * STEP, F.size(matches)) - 1
+            return let(
+                F.aggregate(F.sequence(b * STEP, last), F.struct(state["at"].alias("at"), empty.alias("out")), step),
+                lambda s: F.struct(s["at"].alias("at"), F.concat(state["blocks"], F.array(s["out"])).alias("blocks")),
+            )
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STEP).cast("int"))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), none.alias("blocks")), block)["blocks"])
 
     some = let(F.split(text, pattern, -1), lambda p: let(found, lambda m: walk(p, m)))
     return F.when(text.rlike(pattern), some).otherwise(empty)
