@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from memlake.session import cut_lineage
 
 
-def chain_positions(df: DataFrame, key: str, prev: str) -> DataFrame:
-    """(key, position): distance of each row from the root its ``prev`` links lead to.
+def chain_roots(df: DataFrame, key: str, prev: str) -> DataFrame:
+    """(key, root, position): where the ``prev`` links of each row lead to, and how far it is.
 
     Every round doubles the length of all pointers, so a chain of n rows takes about
     log2(n) rounds. Rows on a cycle, or behind a link to nothing, get a null position.
@@ -17,6 +17,7 @@ def chain_positions(df: DataFrame, key: str, prev: str) -> DataFrame:
     state = cut_lineage(
         df.select(
             F.col(key).alias("id"), F.col(prev).alias("ptr"),
+            F.when(F.col(prev).isNull(), F.col(key)).alias("root"),
             F.when(F.col(prev).isNull(), 0).otherwise(1).cast("long").alias("dist"),
             F.lit(False).alias("lost"),
         )
@@ -27,16 +28,22 @@ def chain_positions(df: DataFrame, key: str, prev: str) -> DataFrame:
         if moving.isEmpty():
             break
         target = state.select(
-            F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"), F.col("lost").alias("gone")
+            F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root").alias("r"),
+            F.col("dist").alias("more"), F.col("lost").alias("gone"),
         )
         moved = moving.join(target, "ptr", "left").select(
-            "id", F.col("next").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"),
+            "id", F.col("next").alias("ptr"), F.col("r").alias("root"), (F.col("dist") + F.col("more")).alias("dist"),
             F.coalesce("gone", F.lit(True)).alias("lost"),
         )
         state = cut_lineage(state.filter("ptr is null").unionByName(moved))
         rounds_left -= 1
     position = F.when(F.col("ptr").isNull() & ~F.col("lost"), F.col("dist"))
-    return state.select(F.col("id").alias(key), position.alias("position"))
+    return state.select(F.col("id").alias(key), F.when(position.isNotNull(), F.col("root")).alias("root"), position.alias("position"))
+
+
+def chain_positions(df: DataFrame, key: str, prev: str) -> DataFrame:
+    """(key, position): distance of each row from the root its ``prev`` links lead to."""
+    return chain_roots(df, key, prev).select(key, "position")
 
 
 def ordered_decisions(decisions: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint
 from memlake.functions.skew import salted_join
-from memlake.operators.chains import decision_tips
+from memlake.operators.chains import chain_roots, decision_tips
+from memlake.session import cut_lineage
 
 # fixed values: states and the event types that end a confirmed state
 TERMINAL_EVENTS = ["superseded", "contradicted", "retracted", "expired"]
@@ -115,24 +116,102 @@ RECORD_FROM_PROPOSAL = [
 ]
 
 
-def materialize(proposals: DataFrame, accepted: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and events that accepted decisions bring about.
-
-    A new record copies its proposal. A superseding one continues the lineage of its
-    targets with the next version and closes each target at its own valid start.
-    """
+def accepted_batch(proposals: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One row per accepted decision with its proposal, to be taken in the order of ``nth``."""
     a = accepted.filter("decision = 'accept'").select(
         "proposal_id", "decision_id", F.col("result_memory_id").alias("memory_id"), "decided_at"
     )
-    rows = proposals.join(a, "proposal_id")
-    targets = rows.select("memory_id", F.explode("target_memory_ids").alias("t")).join(
-        records.select(F.col("memory_id").alias("t"), F.col("lineage_id").alias("t_lineage"), F.col("version").alias("t_version")), "t"
-    ).groupBy("memory_id").agg(F.max("t_version").alias("t_version"), F.max("t_lineage").alias("t_lineage"))
-    rows = rows.join(targets, "memory_id", "left")
+    return proposals.join(a, "proposal_id").withColumn("nth", F.struct("decided_at", "decision_id"))
+
+
+def resolve_batch(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(memory_id, reason) of every row of :func:`accepted_batch`; no reason means it materializes.
+
+    Rows are taken one after another by ``nth``: each needs targets that are confirmed then,
+    stored or made earlier in the batch, and ends them, so of several rows with one target the
+    first that holds keeps it. What a refused row would have made is missing for later ones.
+
+    Rows that are the first open claim on all their targets wait for their targets' makers only.
+    Along single targets they are followed to the end by pointer doubling, so a chain of n rows
+    in a batch takes log2(n) steps; a round settles these and what they decide for others.
+    """
+    used = records.select("memory_id", F.lit(True).alias("used"))
+    once = rows.groupBy("memory_id").agg(F.min("nth").alias("own"))
+    nodes = rows.select("memory_id", "nth", "decision_id", F.array_distinct("target_memory_ids").alias("targets"))
+    nodes = cut_lineage(nodes.join(once, "memory_id").join(used, "memory_id", "left").withColumn("node", F.col("decision_id")))
+    duplicate = F.col("used").isNotNull() | (F.col("nth") != F.col("own"))
+    state = cut_lineage(nodes.select("node", F.when(duplicate, "DuplicateObject").alias("reason"), (~duplicate & (F.size("targets") == 0)).alias("done")))
+    stored = records.select(F.col("memory_id").alias("t"), "current_state")
+    makers = nodes.filter(~duplicate).select(F.col("memory_id").alias("t"), F.col("node").alias("maker"), F.col("nth").alias("made"))
+    pairs = nodes.filter(~duplicate).select("node", "nth", F.explode("targets").alias("t"), F.size("targets").alias("k"))
+    pairs = pairs.join(stored, "t", "left").join(makers, "t", "left")
+    missing = F.col("current_state").isNull() & (F.col("made").isNull() | (F.col("made") >= F.col("nth")))
+    pairs = cut_lineage(pairs.select("node", "nth", "t", "k", F.when(F.col("current_state").isNull(), F.col("maker")).alias("maker"),
+        F.when(missing, "MissingMemory").when(F.col("current_state") != "confirmed", "TargetNotConfirmed").alias("fault")))
+    open_ = F.col("reason").isNull() & ~F.col("done")
+    while not state.filter(open_).isEmpty():
+        maker = state.select(F.col("node").alias("maker"), F.col("reason").alias("m_reason"), F.col("done").alias("m_done"))
+        live = pairs.join(state, "node").filter("reason IS NULL")
+        claims = live.groupBy("t").agg(F.min("nth").alias("first"), F.min(F.when(F.col("done"), F.col("nth"))).alias("kept"))
+        seen = live.filter(~F.col("done")).join(claims, "t").join(maker, "maker", "left")
+        waits = F.col("maker").isNotNull() & F.col("m_reason").isNull() & ~F.col("m_done")
+        fault = F.coalesce("fault", F.when(F.col("m_reason").isNotNull(), "MissingMemory"), F.when(F.col("kept") < F.col("nth"), "TargetNotConfirmed"))
+        per = cut_lineage(seen.groupBy("node").agg(
+            F.min(fault).alias("fault"), F.bool_and(F.col("first") == F.col("nth")).alias("leads"),
+            F.count_if(waits).alias("waiting"), F.max(F.when(waits, F.col("maker"))).alias("on"),
+        ))
+        # a leading row that waits for one maker follows it; others stand for themselves
+        step = F.when(F.col("fault").isNull() & F.col("leads") & (F.col("waiting") == 1), F.col("on"))
+        ends = chain_roots(per.select("node", step.alias("on")), "node", "on")
+        end = per.select(F.col("node").alias("root"), F.col("fault").alias("end_fault"), (F.col("leads") & (F.col("waiting") == 0)).alias("holds"))
+        now = ends.join(end, "root").join(per.select("node", "fault"), "node").select(
+            "node", F.when(F.col("end_fault").isNotNull(), F.coalesce("fault", F.lit("MissingMemory"))).alias("new_reason"), (F.col("end_fault").isNull() & F.col("holds")).alias("new_done")
+        )
+        state = cut_lineage(state.join(now, "node", "left").select("node", F.coalesce("reason", "new_reason").alias("reason"), (F.col("done") | F.coalesce("new_done", F.lit(False))).alias("done")))
+    return nodes.select("node", "memory_id", "decision_id").join(state.select("node", "reason"), "node").drop("node")
+
+
+def _versions(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(memory_id, lineage_id, version) of the rows that materialize, also along chains inside the batch.
+
+    A row continues the lineage of its targets behind the newest of them. Single targets are
+    followed by doubling; rows with several targets wait until all of them are known.
+    """
+    links = rows.select("memory_id", F.explode(F.array_distinct("target_memory_ids")).alias("t"), F.size(F.array_distinct("target_memory_ids")).alias("k"))
+    own = rows.select(F.col("memory_id").alias("t"), F.lit(True).alias("inside"))
+    links = cut_lineage(links.join(own, "t", "left"))
+    single = rows.select("memory_id").join(links.filter("k = 1 AND inside").select("memory_id", "t"), "memory_id", "left")
+    ends = cut_lineage(chain_roots(single, "memory_id", "t"))
+    roots = ends.filter("position = 0").select("memory_id")
+    known = records.select(F.col("memory_id").alias("t"), F.col("lineage_id").alias("t_lineage"), F.col("version").alias("t_version"))
+    fresh = roots.join(links, "memory_id", "left_anti").select("memory_id", F.concat(F.lit("mlin-"), "memory_id").alias("lineage_id"), F.lit(1).cast("long").alias("version"))
+    needs = cut_lineage(roots.join(links, "memory_id"))
+    found = cut_lineage(fresh)
+    while True:
+        tail = ends.join(found.select(F.col("memory_id").alias("root"), "lineage_id", "version"), "root")
+        all_known = known.unionByName(tail.select(F.col("memory_id").alias("t"), F.col("lineage_id").alias("t_lineage"), (F.col("version") + F.col("position")).alias("t_version")))
+        open_ = needs.join(found.select("memory_id"), "memory_id", "left_anti")
+        ready = open_.join(all_known, "t").groupBy("memory_id", "k").agg(F.count(F.lit(1)).alias("n"), F.max("t_lineage").alias("lineage_id"), (F.max("t_version") + 1).alias("version"))
+        more = cut_lineage(ready.filter("n = k").select("memory_id", "lineage_id", "version"))
+        if more.isEmpty():
+            return tail.select("memory_id", "lineage_id", (F.col("version") + F.col("position")).cast("long").alias("version"))
+        found = cut_lineage(found.unionByName(more))
+
+
+def materialize(proposals: DataFrame, accepted: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records and events that accepted decisions bring about, and (decision_id, memory_id, reason) of those refused.
+
+    A new record copies its proposal. A superseding one continues the lineage of its targets
+    with the next version and closes each target at its own valid start. The decisions of a
+    batch are taken in order (see :func:`resolve_batch`), so a batch may continue chains it starts.
+    """
+    rows = accepted_batch(proposals, accepted)
+    resolved = cut_lineage(resolve_batch(rows, records))
+    refused = resolved.filter("reason IS NOT NULL").select("decision_id", "memory_id", "reason")
+    rows = cut_lineage(rows.join(resolved.filter("reason IS NULL").select("decision_id"), "decision_id").drop("nth"))
+    rows = rows.join(_versions(rows, records), "memory_id")
     new_records = rows.select(
-        "memory_id",
-        F.coalesce("t_lineage", F.concat(F.lit("mlin-"), "memory_id")).alias("lineage_id"),
-        (F.coalesce("t_version", F.lit(0)) + 1).cast("long").alias("version"),
+        "memory_id", "lineage_id", "version",
         *RECORD_FROM_PROPOSAL,
         F.col("proposal_id").alias("origin_proposal_id"),
         F.col("decision_id").alias("accepted_by_decision_id"),
@@ -141,6 +220,13 @@ def materialize(proposals: DataFrame, accepted: DataFrame, records: DataFrame) -
         F.concat(F.lit("evt-"), "memory_id", F.lit("-confirmed")).alias("last_state_event_id"),
         F.col("decided_at").alias("created_at"),
     )
+    closing = rows.select("namespace_id", F.col("memory_id").alias("new_id"), "valid_start", "decided_at", F.explode(F.array_distinct("target_memory_ids")).alias("t"))
+    ended = closing.select(F.col("t").alias("memory_id"), F.lit(True).alias("ended"))
+    closed = F.concat(F.lit("evt-"), "memory_id", F.lit("-superseded"))
+    new_records = new_records.join(ended, "memory_id", "left").withColumns({
+        "current_state": F.when(F.col("ended"), "superseded").otherwise("confirmed"),
+        "last_state_event_id": F.when(F.col("ended"), closed).otherwise(F.col("last_state_event_id")),
+    }).drop("ended")
     none = F.lit(None).cast("string")
     first = rows.select(
         F.concat(F.lit("evt-"), "memory_id", F.lit("-confirmed")).alias("event_id"),
@@ -150,10 +236,10 @@ def materialize(proposals: DataFrame, accepted: DataFrame, records: DataFrame) -
         F.array().cast("array<string>").alias("related_memory_ids"),
         F.lit(None).cast("timestamp_ntz").alias("effective_at"), F.col("decided_at").alias("occurred_at"),
     )
-    last = records.select(F.col("memory_id").alias("t"), "last_state_event_id")
-    closing = rows.select(
-        "namespace_id", F.col("memory_id").alias("new_id"), "valid_start", "decided_at", F.explode("target_memory_ids").alias("t")
-    ).join(last, "t").select(
+    last = records.select(F.col("memory_id").alias("t"), "last_state_event_id").unionByName(
+        rows.select(F.col("memory_id").alias("t"), F.concat(F.lit("evt-"), "memory_id", F.lit("-confirmed")).alias("last_state_event_id"))
+    )
+    closing = closing.join(last, "t").select(
         F.concat(F.lit("evt-"), "t", F.lit("-superseded")).alias("event_id"),
         "namespace_id", F.col("t").alias("memory_id"), F.col("last_state_event_id").alias("previous_event_id"),
         F.lit("superseded").alias("event_type"), F.lit("confirmed").alias("from_state"),
@@ -161,7 +247,7 @@ def materialize(proposals: DataFrame, accepted: DataFrame, records: DataFrame) -
         F.array("new_id").alias("related_memory_ids"),
         F.col("valid_start").alias("effective_at"), F.col("decided_at").alias("occurred_at"),
     )
-    return new_records, first.unionByName(closing)
+    return new_records, first.unionByName(closing), refused
 
 
 def append_terminal_events(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from memlake.operators.postings import recall_batch
 from memlake.plans.base_sql import AS_OF, CTES, SET_DIGEST, cte, with_ctes
 from memlake.plans.recall_queries import PERSONAL, recall_index, tip_fragments
 from memlake.plans.registry import query
+from memlake.session import cut_lineage
 from memlake.sources import bind
 
 
@@ -151,19 +152,84 @@ def b6_append_decisions(spark, path):
     return memory.append_decisions(bind.proposals(spark, path), d, incoming, bind.records(spark, path))
 
 
-@query("b7_materialize_records", with_ctes(["rec"], """
-SELECT memory_id, CASE WHEN version = 1 THEN 'mlin-' || memory_id ELSE lineage_id END AS lineage_id, version, content, origin_proposal_id, accepted_by_decision_id, created_at FROM rec"""))
+# accepted decisions from this time on are one batch; what was made before is stored
+CUT = "2024-01-15 00:00:00"
+_CUT = f"TIMESTAMP '{CUT}'"
+
+
+def records_then(spark, path):
+    """The records made before ``CUT`` in the state they had then."""
+    r = bind.records(spark, path)
+    old = r.filter(F.col("created_at") < bind.ntz(CUT))
+    ended = old.select(F.explode("supersedes_memory_ids").alias("memory_id"), F.lit(True).alias("ended"))
+    event = F.concat(F.lit("evt-"), F.expr("substring(memory_id, 5)"), F.when(F.col("ended"), "-2").otherwise("-1"))
+    return old.join(ended, "memory_id", "left").withColumns({
+        "current_state": F.when(F.col("ended"), "superseded").otherwise("confirmed"), "last_state_event_id": event,
+    }).drop("ended")
+
+
+def accepted_batch(spark, path):
+    """Proposals and accepted decisions from ``CUT`` on, and rivals of them.
+
+    ``rival-`` claims a target after the first claim, ``lost-`` a memory that is not there,
+    ``after-`` what ``lost-`` would have made, ``again-`` uses the id of a stored memory.
+    """
+    p = bind.proposals(spark, path)
+    d = bind.decisions(spark, path).filter((F.col("decision") == "accept") & (F.col("decided_at") >= bind.ntz(CUT)))
+    both = d.join(p.select("proposal_id", "operation", "event_id", "target_memory_ids"), "proposal_id")
+    n, number = F.pmod("event_id", F.lit(5)), F.col("event_id").cast("string")
+    later = F.col("decided_at") + F.expr("interval 1 day")
+
+    def rival(name, where, targets, result, at):
+        return both.filter(where).select(
+            F.concat(F.lit(f"{name}-dec-"), number).alias("decision_id"), F.concat(F.lit(f"{name}-"), number).alias("new_id"), "proposal_id",
+            targets.alias("targets"), result.alias("result_memory_id"), at.alias("decided_at"),
+        )
+
+    made = F.concat(F.lit("lost-mem-"), number)
+    rivals = (
+        rival("rival", (n == 0) & (F.col("operation") == "supersede"), F.col("target_memory_ids"), F.concat(F.lit("rival-mem-"), number), later)
+        .unionByName(rival("lost", n == 1, F.array(F.lit("mem-none")), made, F.col("decided_at")))
+        .unionByName(rival("after", n == 1, F.array(made), F.concat(F.lit("after-mem-"), number), later))
+    )
+    stored = bind.records(spark, path).filter(F.col("created_at") < bind.ntz(CUT)).agg(F.min("memory_id").alias("m")).select("m")
+    rivals = rivals.unionByName(rival("again", n == 2, F.array().cast("array<string>"), stored.scalar(), F.col("decided_at")))
+    rivals = cut_lineage(rivals)
+    proposals = p.unionByName(rivals.join(p, "proposal_id").withColumns({"proposal_id": F.col("new_id"), "target_memory_ids": F.col("targets")}).select(*p.columns))
+    decisions = d.select("proposal_id", "decision", "decision_id", "result_memory_id", "decided_at").unionByName(
+        rivals.select(F.col("new_id").alias("proposal_id"), F.lit("accept").alias("decision"), "decision_id", "result_memory_id", "decided_at")
+    )
+    return proposals, decisions
+
+
+@query("b7_materialize_records", with_ctes(["rec"], f"""
+SELECT r.memory_id, CASE WHEN f.created_at < {_CUT} THEN r.lineage_id ELSE 'mlin-' || f.memory_id END AS lineage_id, r.version, r.content,
+  r.origin_proposal_id, r.accepted_by_decision_id, r.created_at, r.current_state
+FROM rec r JOIN rec f ON f.lineage_id = r.lineage_id AND f.version = 1 WHERE r.created_at >= {_CUT}"""))
 def b7_materialize_records(spark, path):
-    new, _ = memory.materialize(bind.proposals(spark, path), bind.decisions(spark, path), bind.records(spark, path))
-    return new.select("memory_id", "lineage_id", "version", "content", "origin_proposal_id", "accepted_by_decision_id", "created_at")
+    new, _, _ = memory.materialize(*accepted_batch(spark, path), records_then(spark, path))
+    return new.select("memory_id", "lineage_id", "version", "content", "origin_proposal_id", "accepted_by_decision_id", "created_at", "current_state")
 
 
-@query("b7_materialize_events", with_ctes(["rec"], """
-SELECT 'evt-' || memory_id || '-confirmed' AS event_id, memory_id, 'confirmed' AS event_type, accepted_by_decision_id AS cause_id, CAST(NULL AS TIMESTAMP) AS effective_at, created_at AS occurred_at FROM rec
-UNION ALL SELECT 'evt-' || prev_memory_id || '-superseded', prev_memory_id, 'superseded', memory_id, valid_start, created_at FROM rec WHERE prev_memory_id IS NOT NULL"""))
+@query("b7_materialize_events", with_ctes(["rec"], f"""
+SELECT 'evt-' || memory_id || '-confirmed' AS event_id, memory_id, 'confirmed' AS event_type, CAST(NULL AS VARCHAR) AS previous_event_id,
+  accepted_by_decision_id AS cause_id, CAST(NULL AS TIMESTAMP) AS effective_at, created_at AS occurred_at FROM rec WHERE created_at >= {_CUT}
+UNION ALL SELECT 'evt-' || r.prev_memory_id || '-superseded', r.prev_memory_id, 'superseded',
+  CASE WHEN p.created_at < {_CUT} THEN 'evt-' || substr(p.memory_id, 5) || '-1' ELSE 'evt-' || p.memory_id || '-confirmed' END, r.memory_id, r.valid_start, r.created_at
+FROM rec r JOIN rec p ON p.memory_id = r.prev_memory_id WHERE r.created_at >= {_CUT}"""))
 def b7_materialize_events(spark, path):
-    _, events = memory.materialize(bind.proposals(spark, path), bind.decisions(spark, path), bind.records(spark, path))
-    return events.select("event_id", "memory_id", "event_type", "cause_id", "effective_at", "occurred_at")
+    _, events, _ = memory.materialize(*accepted_batch(spark, path), records_then(spark, path))
+    return events.select("event_id", "memory_id", "event_type", "previous_event_id", "cause_id", "effective_at", "occurred_at")
+
+
+@query("b7_refused", with_ctes(["rec"], f"""
+SELECT k || '-dec-' || CAST(event_id AS VARCHAR) AS decision_id,
+  CASE k WHEN 'again' THEN (SELECT min(memory_id) FROM rec WHERE created_at < {_CUT}) ELSE k || '-mem-' || CAST(event_id AS VARCHAR) END AS memory_id,
+  CASE k WHEN 'rival' THEN 'TargetNotConfirmed' WHEN 'again' THEN 'DuplicateObject' ELSE 'MissingMemory' END AS reason
+FROM rec, (SELECT unnest(['rival', 'lost', 'after', 'again']) AS k) x
+WHERE created_at >= {_CUT} AND CASE k WHEN 'rival' THEN event_id % 5 = 0 AND prev_memory_id IS NOT NULL WHEN 'again' THEN event_id % 5 = 2 ELSE event_id % 5 = 1 END"""))
+def b7_refused(spark, path):
+    return memory.materialize(*accepted_batch(spark, path), records_then(spark, path))[2]
 
 
 @query("b8_append_terminal_events", with_ctes(["rec"], """
