@@ -36,7 +36,8 @@ HOT_LEAST = 16
 CROWD = 32
 BLOCK = 2048
 SALTS = (0, 0x5851F42D4C957F2D)
-KEYS = [f"keys{i}" for i in range(len(SALTS))]
+#: Prefix keys by order; those of the first order are whole, as they name the token, the others shortened.
+KEYS = {f"keys{i}": "array<long>" if i == 0 else "array<int>" for i in range(len(SALTS))}
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -82,13 +83,14 @@ def ordered_prefix(tokens: np.ndarray, size: int, hot: np.ndarray, order: int) -
 def may_reach(n: int, x: np.ndarray, m: int, y: np.ndarray, percent: int) -> bool:
     """Whether sets of ``n`` and ``m`` tokens with these prefix keys can reach the similarity.
 
-    Up to the place where the shorter prefix ends, both sets are known; what they do not
-    share there is lost, and beyond it the smaller rest bounds what they can share.
+    Before the place where the shorter prefix ends both sets are known; what they do not share
+    there is lost, and from it on the smaller rest bounds what they can share. Keys may be
+    shortened to their first bits: then equal ones only raise the bound.
     """
     end = min(x.max(), y.max())
-    x, y = x[x <= end], y[y <= end]
-    both = len(np.intersect1d(x, y))
-    return both > 0 and (100 + percent) * (both + min(n - len(x), m - len(y))) >= percent * (n + m)
+    x, y = x[x < end], y[y < end]
+    both = max(np.isin(x, y).sum(), np.isin(y, x).sum())
+    return (100 + percent) * (both + min(n - len(x), m - len(y))) >= percent * (n + m)
 
 
 def _prefix_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -126,10 +128,11 @@ def _signatures(docs: DataFrame, hot, width: int, percent: int) -> DataFrame:
                 for order in range(len(SALTS)):
                     parts = [np.sort(order_keys(ordered_prefix(t, prefix_size(len(t), percent), hot.value, order), hot.value, order)).view(np.int64) for t in sets]
                     ends = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
-                    prefixes.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
+                    keys = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                    prefixes.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys if order == 0 else (keys >> 32).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*[c.slice(row, len(sets)) for c in batch.columns[:2]], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *prefixes], names=["key", "doc_id", "n", "digest", *KEYS])
 
-    rows = docs.select(_row_key().alias("key"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, n long, digest binary, " + ", ".join(f"{c} array<long>" for c in KEYS))
+    rows = docs.select(_row_key().alias("key"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, n long, digest binary, " + ", ".join(f"{c} {t}" for c, t in KEYS.items()))
     return rows.withColumn("id", F.monotonically_increasing_id())
 
 
@@ -159,10 +162,11 @@ def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
             for order in range(len(SALTS)):
                 x, y = batch.column(4 + 2 * order), batch.column(5 + 2 * order)
                 for i in np.flatnonzero(keep):
-                    keep[i] = may_reach(n[i], x[i].values.to_numpy().view(np.uint64), m[i], y[i].values.to_numpy().view(np.uint64), percent)
+                    keep[i] = may_reach(n[i], x[i].values.to_numpy().view(np.uint32), m[i], y[i].values.to_numpy().view(np.uint32), percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    of = lambda side, tag: signatures.select(F.col("id").alias(side), F.col("n").alias(tag + "n"), *[F.col(c).alias(tag + c) for c in KEYS])
+    short = lambda c: F.transform(c, lambda k: F.shiftright(k, 32).cast("int")) if KEYS[c] == "array<long>" else F.col(c)
+    of = lambda side, tag: signatures.select(F.col("id").alias(side), F.col("n").cast("int").alias(tag + "n"), *[short(c).alias(tag + c) for c in KEYS])
     both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b")
     return both.select("a", "b", "xn", "yn", *[t + c for c in KEYS for t in "xy"]).mapInArrow(run, "a long, b long")
 
@@ -176,6 +180,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose sets are similar; only texts of pairs that pass all filters are read again."""
     pairs = stored(_filtered(pairs, signatures, percent).distinct(), "candidates")
+    release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(_sets(docs, ids, signatures, width), "sets")
 
@@ -272,9 +277,17 @@ def _linked_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     classes = stored(classes.filter("rep < last").select("digest", "rep"), "copy-classes")
     copies = stored(known.select("id", "digest").join(small_side(classes, 200_000), "digest").filter("id > rep").select("id", "rep"), "copies")
-    rows = known.join(small_side(copies.select("id")), "id", "left_anti").select("id", "n", F.posexplode("keys0").alias("place", "token"))
-    first = rows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
-    members = stored(rows.join(first, "token"), "members")
+    rows = known.join(small_side(copies.select("id")), "id", "left_anti").select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys0").alias("place", "token"))
+
+    def of_token(rows: DataFrame) -> DataFrame:
+        """Rows whose token another row holds, with the smallest of these rows."""
+        first = rows.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("token", "first")
+        return rows.join(first, "token")
+
+    # the keys of frequent tokens are negative: these are joined so that their groups can be split;
+    # groups of the others are small, so their rows are dealt once for the count and the join
+    rare = of_token(rows.filter("token >= 0").repartition("token"))
+    members = stored(rare.unionByName(of_token(rows.filter("token < 0"))), "members")
     release(spark)
     fits = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
     sizes = members.groupBy("id").agg(F.max("n").alias("n"))
@@ -288,6 +301,7 @@ def _linked_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     each = held.groupBy("token", "component").agg(F.count("*").alias("c"))
     apart = each.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size")).filter("k > 1")
     held = stored(held.join(apart.select("token", "size", F.col("top.component").alias("top")), "token"), "held")
+    release(spark)
     quiet = held.filter(F.col("size") <= CROWD)
     few = quiet.filter("component <> top").select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"))
     # a pair is met at its first common token, after which the smaller rest must be enough
