@@ -271,12 +271,12 @@ def strictest_sensitivity(pairs: DataFrame, object_id: str, sensitivity: str) ->
     )
 
 
-def superseded_sources(sources: DataFrame) -> DataFrame:
-    """Superseded ids that are missing, of another lineage, or not older."""
+def superseded_sources(sources: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Superseded ids that are missing, of another lineage, or not older; looked up ``among`` all sources."""
     wanted = sources.select(
         "source_id", "namespace_id", "lineage_id", "version", F.explode("supersedes_source_ids").alias("old_id")
     )
-    old = sources.select(
+    old = (sources if among is None else among).select(
         F.col("source_id").alias("old_id"), F.col("namespace_id").alias("o_ns"),
         F.col("lineage_id").alias("o_lin"), F.col("version").alias("o_ver"),
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from memlake.functions import digest, temporal
 from memlake.functions.text import nfc, variants
-from memlake.operators import capture, chains, context, deletion, maintain, memory, metrics, postings, rules, versions
+from memlake.operators import capture, chains, commit, context, deletion, maintain, memory, metrics, postings, rules, versions
 from memlake.operators.recall import recall_rows
 from memlake.plans import context_queries as cq
 from memlake.plans import deletion_queries as dq
@@ -17,7 +18,7 @@ from memlake.plans.base_sql import CTES, cte, tokens_sql, with_ctes
 from memlake.plans.memory_queries import found_conflicts, variants_sql
 from memlake.plans.recall_queries import PERSONAL, batch_hits, recall_index, rows, tip_fragments
 from memlake.plans.registry import query
-from memlake.session import cut_lineage
+from memlake.session import cut_lineage, work_folder
 from memlake.sources import bind
 from memlake.sources.intake import build_captures, classify, noise_text
 from memlake.sources.segment import GOVERNANCE, segment_lines
@@ -138,12 +139,68 @@ def b9_replay(spark, path):
     return capture.replay(asked, attempts(spark, path, asked))
 
 
-@query("b2_commit_captures", with_ctes(["src", "tips"], """
-SELECT s.lineage_id, CASE WHEN t.source_id IS NULL THEN s.source_id ELSE 'next-' || s.source_id END AS source_id, s.version + CASE WHEN t.source_id IS NULL THEN 0 ELSE 1 END AS version
-FROM src s JOIN tips t ON t.source_id = s.source_id"""))
-def b2_commit_captures(spark, path):
+_LIBRARIES: dict[tuple[str, str], commit.Library] = {}
+
+
+def appended_library(spark, path) -> commit.Library:
+    """The bound library after five appends, run once per application.
+
+    ``1-even`` gives every second tip a next version, ``2-odd`` does so for the others with one
+    false digest, ``3-late`` repeats it without and gives the first ones another version,
+    ``1-even`` comes a second time, and ``4-idle`` captures all tips once more as they are.
+    """
+    key = (spark.sparkContext.applicationId, path)
+    if key in _LIBRARIES:
+        return _LIBRARIES[key]
     s = bind.sources(spark, path)
-    return versions.tips(s.unionByName(next_versions(spark, path))).select("lineage_id", "source_id", "version")
+    base = {"sources": s, "fragments": bind.fragments(spark, path), "bindings": bind.origin_bindings(spark, path), "audit": bind.capture_audit(spark, path)}
+    lib = commit.Library(spark, f"{work_folder(spark)}/library-{uuid.uuid4().hex}", base)
+    new = next_versions(spark, path)
+    even, odd = (new.filter(F.pmod("doc_id", F.lit(2)) == r) for r in (0, 1))
+    false = odd.agg(F.min("source_id").alias("m")).select("m").scalar()
+    broken = odd.withColumn("content_digest", F.when(F.col("source_id") == false, F.sha2(F.lit("x"), 256)).otherwise(F.col("content_digest")))
+    again = even.withColumns({
+        "supersedes_source_ids": F.array("source_id"), "source_id": F.concat(F.lit("next2-"), F.expr("substring(source_id, 6)")),
+        "version": F.col("version") + 1, "content": F.concat("content", F.lit("\nclosing line\n")),
+    }).withColumns({"content_length": F.octet_length("content").cast("long"), "content_digest": digest.exact_digest(F.col("content"))})
+    for name, batch in (("1-even", even), ("2-odd", broken), ("3-late", odd.unionByName(again)), ("1-even", even)):
+        lib.append(name, batch, segment_lines(batch))
+    tips = lib.table("sources").join(lib.tips().select("source_id"), "source_id", "left_semi")
+    idle = tips.withColumn("source_id", F.concat(F.lit("same-"), "source_id")).drop("version", "supersedes_source_ids")
+    lib.append("4-idle", idle, segment_lines(idle))
+    _LIBRARIES[key] = lib
+    return lib
+
+
+cte("at_tip", ["src", "tips"], """
+SELECT s.*, length(s.content) - length(replace(s.content, chr(10), '')) AS n_lines FROM src s JOIN tips t ON t.source_id = s.source_id""")
+
+
+@query("b2_commit_captures", with_ctes(["at_tip"], """
+SELECT lineage_id, CASE WHEN doc_id % 2 = 0 THEN 'next2-' ELSE 'next-' END || source_id AS source_id, version + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM at_tip"""))
+def b2_commit_captures(spark, path):
+    return appended_library(spark, path).tips().select("lineage_id", "source_id", "version")
+
+
+@query("b10_append_batches", with_ctes(["at_tip"], """
+SELECT '1-even' AS batch_id, 'accepted' AS outcome, 0 AS n_problems, count(*) AS n_sources, CAST(sum(n_lines + 2) AS BIGINT) AS n_fragments, 0 AS n_bindings, count(*) AS n_audit, count(*) AS n_tips
+FROM at_tip WHERE doc_id % 2 = 0
+UNION ALL SELECT '2-odd', 'refused', 1, 0, 0, 0, 0, 0
+UNION ALL SELECT '3-late', 'accepted', 0, count(*), CAST(sum(n_lines + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END) AS BIGINT), 0, count(*), count(*) FROM at_tip
+UNION ALL SELECT '4-idle', 'accepted', 0, 0, 0, 0, count(*), 0 FROM at_tip"""))
+def b10_append_batches(spark, path):
+    lib = appended_library(spark, path)
+    out = lib.commits()
+    for name in commit.TABLES:
+        n = lib.appended(name).groupBy("batch_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        out = out.join(n, "batch_id", "left")
+    return out.na.fill(0)
+
+
+@query("b10_refused_rows", with_ctes(["at_tip"], """
+SELECT '2-odd' AS batch_id, 'V1' AS rule_id, 'SourceArtifact' AS object_type, 'next-' || min(source_id) AS object_id, 'DigestMismatch' AS reason FROM at_tip WHERE doc_id % 2 = 1"""))
+def b10_refused_rows(spark, path):
+    return appended_library(spark, path).problems()
 
 
 cte("nrows", ["src", "tips", "rec"], """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.capture import current_facts, decide_captures
+from memlake.operators.commit import Library
 from memlake.operators.versions import tips
+from memlake.sources.segment import segment_lines
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 1000) -> DataFrame:
@@ -55,6 +58,38 @@ def read_memory_current(spark: SparkSession, target: str) -> DataFrame:
     return current_from_facts(merged)
 
 
+def compact_memory_current(spark: SparkSession, target: str) -> int:
+    """Merges the facts of all ended batches into one folder; gives how many it replaced.
+
+    Facts are maxima, so a reader that sees both the merged facts and those they were made
+    of reads the same; the merged folder is complete before an old one goes. Run it while no
+    batch is writing, or later again for what came meanwhile.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    ended = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if len(ended) < 2:
+        return 0
+    facts = spark.read.parquet(*[p.toString() for p in ended])
+    merged = facts.groupBy("namespace_id", "memory_id").agg(F.max("root").alias("root"), F.max("child").alias("child"))
+    merged.write.parquet(f"{target}/batch={-uuid.uuid4().int % 2**31 - 2**31}")
+    for p in ended:
+        fs.delete(p, True)
+    return len(ended)
+
+
+def stream_commits(incoming: DataFrame, library: Library, name: str, checkpoint: str):
+    """Appends each batch of captures (source rows) to ``library``, line by line as fragments.
+
+    A batch is published or refused as a whole under the id ``name``-number, so one that runs
+    again changes nothing, and the next is decided against the tips this one has moved.
+    """
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        library.append(f"{name}-{batch_id}", batch, segment_lines(batch))
+
+    return incoming.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+
+
 def stream_captures(
     incoming: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]], target: str, checkpoint: str
 ):
