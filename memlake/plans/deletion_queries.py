@@ -298,7 +298,13 @@ def d20_resume_actions(spark, path):
     return deletion.resume_state(requests(spark, path), deletion.evidence(results), frozen, deletion.closure_digests(found))
 
 
-@query("d17_plan_fingerprints")
+@query("d17_plan_fingerprints", with_ctes(["plan_", "clos"], f"""
+SELECT delete_request_id, count(*) AS n_rows, {SET_DIGEST} AS plan_digest FROM (
+  SELECT DISTINCT delete_request_id, sha256(sha256(j)) AS h FROM (
+    SELECT delete_request_id, '{{"t":"plan","component_key":"' || component_key || '","component_type":"' || component_type || '","required_action":"' || required_action
+      || '","target_count":' || CAST(target_count AS VARCHAR) || ',"target_digest":"' || target_digest || '"}}' AS j FROM plan_
+    UNION ALL SELECT delete_request_id, '{{"t":"closure","component_type":"' || component_type || '","object_type":"' || object_type || '","object_id":"' || object_id || '"}}' FROM clos))
+GROUP BY delete_request_id"""))
 def d17_plan_fingerprints(spark, path):
     found = cut_lineage(found_targets(spark, path))
     return deletion.plan_fingerprints(deletion.plan(found), closure_of(spark, path, found))

@@ -366,7 +366,9 @@ def u1_digests(spark, path):
     return docs.select("doc_id", digest.exact_digest(F.col("text")).alias("exact"), F.sha2(nfc(loose), 256).alias("nfc_of_nfd"))
 
 
-@query("u3_json_digests")
+@query("u3_json_digests", """
+SELECT event_id, sha256('{' || string_agg('"' || k || '":' || CAST(json_extract(props, '$.' || k) AS VARCHAR), ',' ORDER BY k) || '}') AS json_digest, 0 AS n_flags
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id, props""")
 def u3_json_digests(spark, path):
     e = bind.table(spark, path, "events")
     return e.select("event_id", digest.json_digest(F.col("props")).alias("json_digest"), F.size(digest.json_flags(F.col("props"))).alias("n_flags"))
