@@ -107,3 +107,33 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return m.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
+
+
+def sql(rules=RULES) -> str:
+    """The same counts and rules over ``documents`` as SQL."""
+    word = "'[^\\x20\\x09-\\x0D]+'"
+    stop = ", ".join(f"'{w}'" for w in sorted({w for v in STOP_WORDS.values() for w in v}))
+
+    def value(measure: str) -> str:
+        x, _, y = (part.strip() for part in measure.partition("/"))
+        return f"coalesce(CAST({x} AS DOUBLE) / nullif({y}, 0), 0)" if y else f"CAST({x} AS DOUBLE)"
+
+    def limits(r: Rule) -> str:
+        low = [f"{value(r.measure)} >= {r.low}"] if r.low > float("-inf") else []
+        high = [f"{value(r.measure)} <= {r.high}"] if r.high < float("inf") else []
+        return f"(n_words < {r.from_words} OR ({' AND '.join(low + high)}))"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, {word}) AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {word})) AS lines FROM d),
+windows AS (SELECT r, i, array_to_string(words[i : i + 4], ' ') AS x FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS place FROM again) GROUP BY r),
+m AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
+    len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop_words
+  FROM w LEFT JOIN covered c USING (r)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(map(limits, rules))} AS kept FROM f"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import table
 from memlake.llm.hard_negatives import SQL as HARD_NEGATIVES
+from memlake.llm.quality_rules import sql as quality_sql
 from memlake.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_sql(), "op12_hard_negatives": HARD_NEGATIVES}
 
 
 def _query(fn):
