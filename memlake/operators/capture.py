@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.digest import row_fingerprint
+from memlake.functions.digest import row_fingerprint, set_digest
 from memlake.operators.rules import violations
 
 LINEAGE = ["namespace_id", "lineage_id"]
@@ -94,12 +94,12 @@ REQUEST_FIELDS = [
 
 
 def request_digests(sources: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Digest of each capture request: its source facts and its fragment ranges.
+    """Digest of each capture request: its source facts and its set of fragment ranges.
 
-    A source's size limit bounds the number of its fragments.
+    The fragments enter by the sums of :func:`set_digest`, so none are gathered.
     """
-    ranges = F.sort_array(F.collect_list(F.struct("ordinal", "fragment_id", "byte_start", "byte_end", "content_digest")))
-    per = fragments.groupBy("source_id").agg(F.sha2(F.to_json(ranges), 256).alias("fragments_digest"))
+    one = row_fingerprint("ordinal", "fragment_id", "byte_start", "byte_end", "content_digest")
+    per = set_digest(fragments, ["source_id"], one, name="fragments_digest").drop("n_members")
     return sources.join(per, "source_id", "left").select(
         "source_id", "namespace_id", "origin_ref", "content_digest", "content_length", "media_type",
         row_fingerprint(*REQUEST_FIELDS, "fragments_digest").alias("request_digest"),

@@ -101,29 +101,38 @@ def memory_current(events: DataFrame) -> DataFrame:
 def reachable(seeds: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     """(group, node): seeds and all nodes their edges (src, dst) lead to; safe on cycles.
 
-    Where no node has two outgoing edges, which valid supersession guarantees, pointers
-    are doubled and a chain of n nodes takes about log2(n) rounds. Otherwise a frontier
-    moves one edge per round.
+    Nodes with one edge make paths, which pointers of doubling length jump along: a path of n
+    nodes takes about log2(n) steps. Only nodes with several edges are walked one after
+    another, from the end of one path to the starts of the next; each step reads what the
+    one before has added. At last every path that was entered is filled in by the same jumps.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
-    seen = cut_lineage(seeds.select(group, "node").distinct())
-    branching = not links.groupBy("src").count().filter("count > 1").isEmpty()
-    frontier = seen
-    rounds = max(links.count(), 1).bit_length() + 1
-    while branching or rounds > 0:
-        step = (
-            (frontier if branching else seen)
-            .join(links, F.col("node") == F.col("src"))
-            .select(group, F.col("dst").alias("node"))
-            .distinct()
-            .join(seen, [group, "node"], "left_anti")
-        )
-        frontier = cut_lineage(step)
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    branching = cut_lineage(links.join(degree.filter("n > 1"), "src").select("src", "dst"))
+    level = links.join(degree.filter("n = 1"), "src").select(F.col("src").alias("node"), F.col("dst").alias("ptr"), F.lit(True).alias("full"))
+    jumps, rounds = [level.drop("full")], max(links.count(), 1).bit_length()
+    for i in range(rounds):
+        # "full" pointers go on; the others have met the end of their path
+        ahead = level.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("full").alias("more"))
+        moved = level.filter("full").join(ahead, "ptr", "left").select("node", F.coalesce("next", "ptr").alias("ptr"), F.coalesce("more", F.lit(False)).alias("full"))
+        level = level.filter("NOT full").unionByName(moved)
+        if i % 2:
+            level = cut_lineage(level)
+            if level.filter("full").isEmpty():
+                break
+        jumps.append(level.filter("full").drop("full"))
+    ends = cut_lineage(level.filter("NOT full").select("node", F.col("ptr").alias("end")))
+    entered = frontier = cut_lineage(seeds.select(group, "node").distinct())
+    while not branching.isEmpty():
+        at = frontier.join(ends, "node", "left").select(group, F.coalesce("end", "node").alias("src")).distinct()
+        step = at.join(branching, "src").select(group, F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(step.join(entered, [group, "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
-        if not branching:
-            far = links.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-            links = cut_lineage(links.join(far, "dst").select("src", F.col("end").alias("dst")))
-            rounds -= 1
+        entered = entered.unionByName(frontier)
+    seen = entered
+    for i, jump in enumerate(jumps):
+        seen = seen.unionByName(seen.join(jump, "node").select(group, F.col("ptr").alias("node"))).distinct()
+        if i % 5 == 4:
+            seen = cut_lineage(seen)
     return seen

@@ -163,27 +163,20 @@ def value_rows(df: DataFrame, kind: str, object_id: str) -> DataFrame:
 def fragment_resolution(fragments: DataFrame, sources: DataFrame) -> DataFrame:
     """Fragments whose source, namespace, governance or exact byte range does not match.
 
-    Only ids, ranges and digests of fragments are shuffled. The fragments of one source
-    (bounded by the size limit of a source) meet its body in one row, so a body is
-    decoded once, whatever the number of its fragments.
+    Only ids, ranges and digests of fragments are shuffled. Each meets its body in a plain
+    join, where the slice is cut and hashed; no fragments are gathered, and a source with
+    very many of them can be split.
     """
     gov = [g for g in GOVERNANCE if g in fragments.columns]
     facts = fragments.select(
-        "source_id",
-        F.struct(
-            "fragment_id", "namespace_id", "byte_start", "byte_end", exact_digest(F.col("content")).alias("digest"), *gov
-        ).alias("f"),
-    ).groupBy("source_id").agg(F.collect_list("f").alias("fs"))
+        "source_id", *[F.col(c).alias(f"f_{c}") for c in ("fragment_id", "namespace_id", "byte_start", "byte_end", *gov)],
+        exact_digest(F.col("content")).alias("f_digest"),
+    )
     body = sources.select(
         "source_id", F.col("namespace_id").alias("s_namespace_id"),
         F.col("content").cast("binary").alias("_body"), *prefixed(sources, "s_", gov),
     )
-    rows = facts.join(body, "source_id", "left").select(
-        "_body", "s_namespace_id", *[f"s_{g}" for g in gov], F.explode("fs").alias("f")
-    ).select(
-        "_body", "s_namespace_id", *[f"s_{g}" for g in gov],
-        *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("fragment_id", "namespace_id", "byte_start", "byte_end", "digest", *gov)],
-    )
+    rows = facts.join(body, "source_id", "left")
     start, end = F.col("f_byte_start"), F.col("f_byte_end")
     piece = F.substring(F.col("_body"), start.cast("int") + 1, (end - start).cast("int"))
     in_range = (start >= 0) & (start < end) & (end <= F.octet_length("_body"))

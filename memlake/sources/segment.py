@@ -28,10 +28,11 @@ def segment_lines(sources: DataFrame, with_content: bool = True) -> DataFrame:
     ends = sources.withColumn("_ends", line_ends("content")).withColumn(
         "_body", F.col("content").cast("binary")
     )
+    # the outer form infers no filter on the offsets, which would call the function a second time
     rows = ends.select(
         "namespace_id", "source_id", "_body", "_ends", *GOVERNANCE, "created_at",
-        F.posexplode("_ends").alias("ordinal", "byte_end"),
-    )
+        F.posexplode_outer("_ends").alias("ordinal", "byte_end"),
+    ).filter("byte_end IS NOT NULL")
     start = F.when(F.col("ordinal") == 0, F.lit(0).cast("long")).otherwise(
         F.element_at("_ends", F.greatest(F.col("ordinal"), F.lit(1)))
     )

@@ -58,6 +58,27 @@ def test_reachable_matches_a_walk(spark):
         assert got == brute(seeds, edges)
 
 
+def test_reachable_in_random_graphs(spark):
+    rng = random.Random(8)
+    for n, m in ((30, 28), (40, 60), (25, 25)):
+        edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        edges += [(f"p{i}", f"p{i + 1}") for i in range(20)] + [("p20", "n0"), ("n1", "p0")]
+        seeds = [(f"g{rng.randrange(3)}", f"n{rng.randrange(n)}") for _ in range(5)] + [("g9", "alone")]
+        got = chains.reachable(spark.createDataFrame(seeds, "g string, node string"), spark.createDataFrame(edges, "src string, dst string"), "g")
+        assert {(r["g"], r["node"]) for r in got.collect()} == brute(seeds, edges)
+
+
+def test_a_long_chain_with_a_branch_takes_few_rounds(spark, monkeypatch):
+    n = 10_000
+    edges = spark.range(n).selectExpr("concat('c', id) AS src", "concat('c', id + 1) AS dst").union(spark.sql("SELECT 'c5000', 'side' UNION ALL SELECT 'side', 'end'"))
+    cuts, cut = [], chains.cut_lineage
+    monkeypatch.setattr(chains, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    seeds = spark.createDataFrame([("g", "c0"), ("h", "c7000")], "g string, node string")
+    got = {r["g"]: r["count"] for r in chains.reachable(seeds, edges, "g").groupBy("g").count().collect()}
+    assert got == {"g": n + 3, "h": n - 6999} and len(cuts) < 20
+
+
+
 EVENT = "event_id string, namespace_id string, memory_id string, previous_event_id string, event_type string, from_state string"
 RECORD = "memory_id string, namespace_id string, current_state string, last_state_event_id string"
 
