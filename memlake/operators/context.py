@@ -148,3 +148,60 @@ def pack_resolution(items: DataFrame, cited: DataFrame, records: DataFrame, frag
         ("RecallBlocked", (F.col("current_state") != "confirmed") | (F.col("r_state") != "active")),
     ])
     return of_citations.unionByName(of_items)
+
+
+def citation_closure(uses: DataFrame, cited: DataFrame) -> DataFrame:
+    """Both sides of a pack's citation map: cited ids that are not mapped, and mapped ids that nothing cites.
+
+    ``uses`` holds (query_id, ordinal, citation_id), what items cite; ``cited`` is the map.
+    """
+    used = uses.select("query_id", "citation_id").distinct().withColumn("used", F.lit(True))
+    mapped = cited.select("query_id", "citation_id").distinct().withColumn("mapped", F.lit(True))
+    rows = used.join(mapped, ["query_id", "citation_id"], "full_outer")
+    return violations(rows, "X8", "Citation", F.concat_ws("/", "query_id", "citation_id"), [
+        ("MissingReference", F.col("mapped").isNull()),
+        ("CitationMismatch", F.col("used").isNull()),
+    ])
+
+
+def pack_closure(packs: DataFrame, items: DataFrame, uses: DataFrame, cited: DataFrame, records: DataFrame, fragments: DataFrame, sources: DataFrame) -> DataFrame:
+    """Everything in a pack that does not resolve, one row per object and reason.
+
+    ``packs`` holds (query_id, namespace_id, deletion_state). Besides the two sides of the
+    citation map: blocked packs; items whose object is missing, in another namespace or not
+    recallable; citations an item may not use, as they are no evidence of its object; and
+    citations whose fragment or source is in another namespace.
+    """
+    key = F.concat(F.col("query_id"), F.lit("/"), F.col("ordinal").cast("string"))
+    home = packs.select("query_id", F.col("namespace_id").alias("p_ns"))
+    state = sources.select("source_id", F.col("deletion_state").alias("s_state"))
+    of_fragments = fragments.select("fragment_id", "source_id", "namespace_id", "deletion_state").join(state, "source_id", "left").select(
+        F.lit("source_fragment").alias("item_type"), F.col("fragment_id").alias("object_id"), F.col("namespace_id").alias("o_ns"),
+        (F.col("deletion_state").eqNullSafe("active") & F.col("s_state").eqNullSafe("active")).alias("open"),
+    )
+    of_records = records.select(
+        F.lit("memory_record").alias("item_type"), F.col("memory_id").alias("object_id"), F.col("namespace_id").alias("o_ns"),
+        (F.col("deletion_state").eqNullSafe("active") & F.col("current_state").eqNullSafe("confirmed")).alias("open"),
+    )
+    objects = of_fragments.unionByName(of_records)
+    placed = items.filter(F.col("item_type").isin("source_fragment", "memory_record")).join(objects, ["item_type", "object_id"], "left").join(home, "query_id", "left")
+    of_items = violations(placed, "V22", "ContextItem", key, [
+        ("MissingReference", F.col("o_ns").isNull()),
+        ("NamespaceMismatch", F.col("o_ns") != F.col("p_ns")),
+        ("RecallBlocked", ~F.col("open")),
+    ])
+    evidence = records.select(F.col("memory_id").alias("object_id"), F.explode(F.array_distinct("source_fragment_refs")).alias("fragment_id"), F.lit(True).alias("evident"))
+    used = uses.select("query_id", "ordinal", "citation_id").join(cited.select("query_id", "citation_id", "fragment_id").distinct(), ["query_id", "citation_id"])
+    used = used.join(items.select("query_id", "ordinal", "item_type", "object_id"), ["query_id", "ordinal"]).join(evidence, ["object_id", "fragment_id"], "left")
+    own = (F.col("item_type") != "memory_record") & (F.col("object_id") == F.col("fragment_id"))
+    accepted = own | ((F.col("item_type") != "source_fragment") & F.col("evident").isNotNull())
+    of_uses = violations(used, "V22", "ContextItem", key, [("CitationMismatch", ~F.coalesce(accepted, F.lit(False)))])
+    place = fragments.select("fragment_id", F.col("namespace_id").alias("f_ns"))
+    there = sources.select("source_id", F.col("namespace_id").alias("s_ns"))
+    foreign = cited.join(place, "fragment_id", "left").join(there, "source_id", "left").join(home, "query_id", "left")
+    of_citations = violations(foreign, "V22", "Citation", "citation_id", [
+        ("MissingReference", F.col("f_ns").isNull() | F.col("s_ns").isNull()),
+        ("NamespaceMismatch", (F.col("f_ns") != F.col("p_ns")) | (F.col("s_ns") != F.col("p_ns"))),
+    ])
+    of_packs = violations(packs, "V22", "ContextPack", "query_id", [("RecallBlocked", F.col("deletion_state") != "active")])
+    return of_packs.unionByName(citation_closure(uses, cited)).unionByName(of_items).unionByName(of_uses).unionByName(of_citations)

@@ -120,3 +120,39 @@ def v22_pack_resolution(spark, path):
     return context.pack_resolution(
         items, cited, bind.records(spark, path), bind.fragments(spark, path), bind.sources(spark, path)
     )
+
+
+def broken_packs(spark, path):
+    """Packs, items, uses and citations with one fault per reason; see the SQL beside."""
+    items, cited = parts(spark, path)
+    o = F.col("ordinal")
+    items = items.withColumn("object_id", F.when(F.pmod(o, F.lit(6)) == 1, F.concat(F.lit("gone-"), "object_id")).otherwise(F.col("object_id")))
+    lost = items.filter(F.pmod(o, F.lit(5)) == 2).select("query_id", "ordinal", F.concat(F.lit("cit-none-"), o.cast("string")).alias("citation_id"))
+    uses = cited.filter(F.pmod(o, F.lit(7)) != 5).select("query_id", "ordinal", "citation_id").unionByName(lost)
+    qs = bind.recall_queries(spark, path, tip_fragments(spark, path)).join(items.select("query_id").distinct(), "query_id", "left_semi")
+    packs = qs.select(
+        "query_id", F.when(F.col("query_id").startswith("doc-"), "ns-none").otherwise(F.col("namespace_id")).alias("namespace_id"),
+        F.when(F.col("query_id").startswith("conv-"), "pending").otherwise("active").alias("deletion_state"),
+    )
+    return packs, items, uses, cited
+
+
+_X8 = """
+SELECT 'X8' AS rule_id, 'Citation' AS object_type, query_id || '/' || citation_id AS object_id, 'CitationMismatch' AS reason FROM cites WHERE ordinal % 7 = 5
+UNION ALL SELECT 'X8', 'Citation', query_id || '/cit-none-' || CAST(ordinal AS VARCHAR), 'MissingReference' FROM items WHERE ordinal % 5 = 2"""
+
+
+@query("x8_citation_closure", with_ctes(["items", "cites"], _X8))
+def x8_citation_closure(spark, path):
+    _, _, uses, cited = broken_packs(spark, path)
+    return context.citation_closure(uses, cited)
+
+
+@query("v22_pack_closure", with_ctes(["items", "cites", "qs", "rec", "src"], f"""{_X8}
+UNION ALL SELECT DISTINCT 'V22', 'ContextPack', query_id, 'RecallBlocked' FROM items WHERE query_id LIKE 'conv-%'
+UNION ALL SELECT 'V22', 'ContextItem', query_id || '/' || CAST(ordinal AS VARCHAR), 'MissingReference' FROM items WHERE ordinal % 6 = 1
+UNION ALL SELECT 'V22', 'ContextItem', query_id || '/' || CAST(ordinal AS VARCHAR), 'NamespaceMismatch' FROM items WHERE ordinal % 6 <> 1 AND query_id LIKE 'doc-%'
+UNION ALL SELECT 'V22', 'ContextItem', query_id || '/' || CAST(ordinal AS VARCHAR), 'CitationMismatch' FROM cites WHERE ordinal % 6 = 1 AND ordinal % 7 <> 5
+UNION ALL SELECT 'V22', 'Citation', citation_id, 'NamespaceMismatch' FROM cites WHERE query_id LIKE 'doc-%'"""))
+def v22_pack_closure(spark, path):
+    return context.pack_closure(*broken_packs(spark, path), bind.records(spark, path), bind.fragments(spark, path), bind.sources(spark, path))

@@ -316,14 +316,18 @@ def v40_catalog_rows(spark, path):
     return versions.version_chain_problems(s, versions.tips(s)).select("namespace_id", "lineage_id", "reason")
 
 
-@query("m6_namespaces", with_ctes(["src", "rec"], """
-SELECT 'M6' AS rule_id, 'SourceArtifact' AS object_type, source_id AS object_id, 'NamespaceMismatch' AS reason FROM src WHERE namespace_id NOT IN ('ns-en', 'ns-fr', 'ns-de')
-UNION ALL SELECT 'M6', 'MemoryRecord', memory_id, 'NamespaceMismatch' FROM rec WHERE namespace_id NOT IN ('ns-en', 'ns-fr', 'ns-de')"""))
+_M6 = [
+    ("SourceArtifact", "source_id", "src"), ("SourceFragment", "fragment_id", "frag"), ("MemoryProposal", "proposal_id", "prop"), ("MemoryDecision", "decision_id", "dec"),
+    ("MemoryRecord", "memory_id", "rec"), ("MemoryStateEvent", "event_id", "evt"), ("CaptureAudit", "source_id", "src"), ("BodyObject", "source_id", "src"),
+    ("OriginBinding", "lineage_id", "(SELECT DISTINCT namespace_id, origin_ref, lineage_id FROM src)"),
+]
+
+
+@query("m6_namespaces", with_ctes(["src", "frag", "prop", "dec", "rec", "evt"], "\nUNION ALL ".join(
+    f"SELECT 'M6' AS rule_id, '{kind}' AS object_type, {key} AS object_id, 'NamespaceMismatch' AS reason FROM {of} WHERE namespace_id NOT IN ('ns-en', 'ns-fr', 'ns-de')" for kind, key, of in _M6)))
 def m6_namespaces(spark, path):
-    return rules.namespace_rows({
-        "SourceArtifact": (bind.sources(spark, path), "source_id"),
-        "MemoryRecord": (bind.records(spark, path), "memory_id"),
-    }, ["ns-en", "ns-fr", "ns-de"])
+    tables = [bind.sources, lambda s, p: bind.fragments(s, p, False), bind.proposals, bind.decisions, bind.records, bind.state_events, bind.capture_audit, bind.object_inventory, bind.origin_bindings]
+    return rules.namespace_rows({kind: (t(spark, path), key) for (kind, key, _), t in zip(_M6, tables, strict=True)}, ["ns-en", "ns-fr", "ns-de"])
 
 
 @query("u15_required_sensitivity", with_ctes(["prop", "frag"], """
