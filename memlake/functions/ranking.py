@@ -50,34 +50,28 @@ def ordered_sequence(
     )
 
 
-def global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
-    """0-based position of every row in one total order, without a single sorting task.
+def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based rank of every row among the rows of its key, whatever share of all rows a key holds.
 
-    A range partitioning splits the order over many tasks. The checkpoint pins it, so
-    the per-partition counts and the rows read afterwards agree.
+    Rows are dealt by sampled ranges of the whole order, so a hot key spans many tasks;
+    what a key has in earlier ranges is added from one small row per key and range. The
+    checkpoint pins the ranges, so counts and rows read afterwards agree.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.expr(c) if isinstance(c, str) else c for c in order]
+    keys, cols = list(keys), [*keys, *order]
     packed = cut_lineage(
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
-    row, part = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_id", 33)
-    counts = packed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(
-        "_p",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_s"),
-    )
-    # one row per partition of the shuffle: bounded by spark.sql.shuffle.partitions
-    return (
-        packed.withColumn("_p", part)
-        .join(F.broadcast(starts), "_p")
-        .select(*df.columns, (F.col("_s") + row).alias(name))
+        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
+    ).withColumn("_p", F.shiftright("_id", 33))
+    ranges = packed.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return packed.join(starts, same).select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name))
 
 
 def top_k_per_key(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint, set_digest
-from memlake.functions.ranking import ordered_sequence
+from memlake.functions.ranking import range_rank
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
 from memlake.session import cut_lineage
@@ -76,9 +76,7 @@ def targets(requests: DataFrame, sources: DataFrame, fragments: DataFrame, recor
 def ordered_targets(found: DataFrame) -> DataFrame:
     """Targets with their ordinal: object type first, then id."""
     ranked = found.withColumn("type_rank", type_rank(F.col("object_type")))
-    # ids that share a prefix form the buckets that are sorted on their own
-    bucket = F.concat(F.col("type_rank").cast("string"), F.substring("object_id", 1, 11))
-    seq = ordered_sequence(ranked, [REQUEST], ["type_rank", "object_id"], bucket)
+    seq = range_rank(ranked, [REQUEST], ["type_rank", "object_id"], "seq")
     return seq.select(REQUEST, "object_type", "object_id", (F.col("seq") - 1).alias("ordinal"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.ranking import ordered_sequence, page
+from memlake.functions.ranking import page, range_rank
 
 LINEAGE = ["namespace_id", "lineage_id"]
 
@@ -103,14 +103,12 @@ def catalog_after(
 def catalog_rank(summaries: DataFrame) -> DataFrame:
     """1-based rank of every lineage in its namespace's catalog order.
 
-    A namespace can hold most lineages, so ranks are counted day by day.
+    A namespace, or one import day of it, can hold most lineages; ranks come from ranges.
     """
-    day = F.unix_date(F.to_date("captured_at"))
     rows = summaries.select(
         *LINEAGE, "captured_at", (-F.unix_micros(F.col("captured_at").cast("timestamp"))).alias("_newest")
     )
-    ranked = ordered_sequence(rows, ["namespace_id"], ["_newest", "lineage_id"], -day, seq="catalog_rank")
-    return ranked.drop("_newest")
+    return range_rank(rows, ["namespace_id"], ["_newest", "lineage_id"], "catalog_rank").drop("_newest")
 
 
 def version_summaries(sources: DataFrame, tips_: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ SAMPLE = """s2_fragments j2_tips f10_lineage_summaries w8_catalog_rank w2_versio
 q1_single_recall v1_source_rows v3_fragment_resolution v4_fragment_cover v14_materialization v15_event_chain v16_supersession
 j12_duplicate_proposals w4_decision_tip g1_dependents b6_append_decisions t3_query_at j19_current_on_grid q6_conflicts q8_context_packs
 v22_pack_resolution d3_closure d5_results d9_records_after w6_latest_evidence b1_decide_captures b9_replay x1_tip_drift v32_reconcile
-v37_body_audit u5_timestamps s6_intake e2_recall_at_5""".split()
+v37_body_audit u5_timestamps b10_append_batches b7_refused x8_citation_closure s6_intake e2_recall_at_5""".split()
 NAMES = sorted(entry.queries()) if os.environ.get("MEMLAKE_ALL_QUERIES") else SAMPLE
 
 

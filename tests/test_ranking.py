@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from memlake.functions.ranking import global_position, ordered_sequence, top_k_per_key
+from memlake.functions.ranking import ordered_sequence, range_rank, top_k_per_key
 from memlake.functions.skew import salted_join
 
 
@@ -29,12 +29,18 @@ def test_ordered_sequence_equals_a_plain_sort(spark):
         assert [r["next_i"] for r in found] == ids[1:] + [None]
 
 
-def test_global_position_is_a_total_order(spark):
-    data = rows(200)
-    df = spark.createDataFrame(data, "k string, t int, i int").repartition(5)
-    got = sorted((r["position"], r["t"], r["i"]) for r in global_position(df, ["t", "i"]).collect())
-    assert [(t, i) for _, t, i in got] == sorted((t, i) for _, t, i in data)
-    assert [p for p, _, _ in got] == list(range(200))
+def test_ranks_are_spread_though_all_rows_share_a_day_and_a_prefix(spark):
+    data = rows(600) + [(None, 7, i) for i in range(700, 740)]
+    df = spark.createDataFrame(data, "k string, t int, i int").select("k", F.lit("2024-01-01").alias("day"), F.concat(F.lit("same-long-prefix-"), F.format_string("%05d", "i")).alias("id")).repartition(5)
+    ranked = range_rank(df, ["k"], ["day", "id"])
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r["k"], []).append((r["rank"], r["id"]))
+    for k, found in got.items():
+        assert sorted(found) == list(enumerate(sorted(f"same-long-prefix-{i:05d}" for x, _, i in data if x == k), 1))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, "k", "day", "id").filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.6 * len(data)
 
 
 def test_top_k_limits_before_the_shuffle(spark):
