@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint
-from memlake.functions.skew import salted_join
 from memlake.operators.chains import chain_roots, decision_tips
 from memlake.session import cut_lineage
 
@@ -37,11 +36,12 @@ def first_of_each(proposals: DataFrame) -> DataFrame:
 def duplicate_proposals(proposals: DataFrame) -> DataFrame:
     """Every repeated proposal with the earliest one it repeats; no pairs are formed.
 
-    One key may hold a large share of all proposals, so the join back is salted.
+    One key may hold a large share of all proposals; the join back is a plain one, which is
+    split at run time where a key is that large.
     """
     keyed = proposals.select("proposal_id", "namespace_id", proposal_key().alias("semantic_key"))
     firsts = first_of_each(proposals).filter("n_same > 1")
-    return salted_join(keyed, firsts, ["semantic_key"], ["proposal_id"]).filter(
+    return keyed.join(firsts, "semantic_key").filter(
         "proposal_id <> first_proposal_id"
     ).select("proposal_id", "namespace_id", F.col("first_proposal_id").alias("duplicate_of"), "n_same")
 
@@ -56,7 +56,7 @@ def admit_proposals(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     batch_first = first_of_each(incoming).select("semantic_key", "first_proposal_id")
     old_first = first_of_each(stored).select("semantic_key", F.col("first_proposal_id").alias("stored_id"))
     first = batch_first.join(old_first, "semantic_key", "left")
-    rows = salted_join(keyed, first, ["semantic_key"], ["proposal_id"])
+    rows = keyed.join(first, "semantic_key")
     known = F.coalesce("stored_id", "first_proposal_id")
     accepted = F.col("stored_id").isNull() & (F.col("proposal_id") == F.col("first_proposal_id"))
     return rows.select(
@@ -257,7 +257,7 @@ def append_terminal_events(current: DataFrame, incoming: DataFrame) -> DataFrame
     lead = incoming.groupBy("memory_id").agg(F.min(F.struct("occurred_at", "event_id")).alias("f")).select(
         "memory_id", F.col("f.event_id").alias("lead_id")
     )
-    rows = salted_join(incoming, lead, ["memory_id"], ["event_id"]).join(state, "memory_id", "left")
+    rows = incoming.join(lead, "memory_id").join(state, "memory_id", "left")
     reason = (
         F.when(F.col("m_ns").isNull() | (F.col("m_ns") != F.col("namespace_id")), "MissingMemory")
         .when(F.col("event_type") == "superseded", "Materialization")
