@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.session import cut_lineage
+from memlake.session import cut_lineage, written
 
 
 def chain_roots(df: DataFrame, key: str, prev: str) -> DataFrame:
@@ -101,11 +101,16 @@ def memory_current(events: DataFrame) -> DataFrame:
 def reachable(seeds: DataFrame, edges: DataFrame, group: str) -> DataFrame:
     """(group, node): seeds and all nodes their edges (src, dst) lead to; safe on cycles.
 
-    Nodes with one edge make paths, which pointers of doubling length jump along: a path of n
+    Seeds that their edges do not leave are the answer after one step, whatever the length of
+    the paths among them. Else nodes with one edge make paths, which pointers of doubling length jump along: a path of n
     nodes takes about log2(n) steps. Only nodes with several edges are walked one after
     another, from the end of one path to the starts of the next; each step reads what the
     one before has added. At last every path that was entered is filled in by the same jumps.
     """
+    start = written(seeds.select(group, "node").distinct())
+    step = edges.select(F.col("src").alias("node"), "dst").join(start, "node").select(group, F.col("dst").alias("node"))
+    if step.join(start, [group, "node"], "left_anti").isEmpty():
+        return start
     links = cut_lineage(edges.select("src", "dst").distinct())
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     branching = cut_lineage(links.join(degree.filter("n > 1"), "src").select("src", "dst"))
@@ -122,7 +127,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, group: str) -> DataFrame:
                 break
         jumps.append(level.filter("full").drop("full"))
     ends = cut_lineage(level.filter("NOT full").select("node", F.col("ptr").alias("end")))
-    entered = frontier = cut_lineage(seeds.select(group, "node").distinct())
+    entered = frontier = start
     while not branching.isEmpty():
         at = frontier.join(ends, "node", "left").select(group, F.coalesce("end", "node").alias("src")).distinct()
         step = at.join(branching, "src").select(group, F.col("dst").alias("node")).distinct()

@@ -12,7 +12,7 @@ from memlake.functions.digest import row_fingerprint, set_digest
 from memlake.functions.ranking import range_rank
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
-from memlake.session import cut_lineage
+from memlake.session import written
 
 # fixed values: component key, component type, required action, in plan order
 PROFILE = [
@@ -31,6 +31,8 @@ OUTCOME = {"delete": "deleted", "redact": "redacted", "retain_minimal": "retaine
 MARKER = "[redacted:local-deletion]"
 FAILURE_CODE = "deletion-component-failed"
 REQUEST = "delete_request_id"
+#: So many digests of closure rows one task holds at once.
+TASK_ROWS = 250_000
 TYPE_RANK = {"SourceArtifact": 0, "SourceFragment": 1, "MemoryProposal": 2, "MemoryDecision": 3,
              "MemoryRecord": 4, "MemoryStateEvent": 5, "DeleteRequest": 7}
 
@@ -357,10 +359,15 @@ def resume_state(requests: DataFrame, stored: DataFrame, frozen: DataFrame, curr
 
 
 def plan_fingerprints(planned: DataFrame, closure: DataFrame) -> DataFrame:
-    """Digest over the plan and execution closure rows of each request, in any row order."""
+    """Digest over the plan and execution closure rows of each request, in any row order.
+
+    The closure is written and counted first: the tasks are as many as its rows ask for.
+    """
+    closure = written(closure)
+    parts = max(int(closure.sparkSession.conf.get("spark.sql.shuffle.partitions")), closure.count() // TASK_ROWS)
     rows = planned.select(REQUEST, row_fingerprint(F.lit("plan").alias("t"), "component_key", "component_type", "required_action", "target_count", "target_digest").alias("_m"))
     rows = rows.unionByName(closure.select(REQUEST, row_fingerprint(F.lit("closure").alias("t"), "component_type", "object_type", "object_id").alias("_m")))
-    return set_digest(rows, [REQUEST], F.col("_m"), name="plan_digest").withColumnRenamed("n_members", "n_rows")
+    return set_digest(rows, [REQUEST], F.col("_m"), "plan_digest", parts).withColumnRenamed("n_members", "n_rows")
 
 
 def completeness_gate(closure: DataFrame, objects: DataFrame) -> DataFrame:
@@ -382,15 +389,15 @@ def delete_lineages(
     Returns the tables afterwards, the component results and the evidence. Frames that
     several steps read are written once.
     """
-    found = cut_lineage(targets(requests, tables["sources"], tables["fragments"], tables["records"]))
-    closure = cut_lineage(execution_closure(
+    found = written(targets(requests, tables["sources"], tables["fragments"], tables["records"]))
+    closure = written(execution_closure(
         found, tables["fragments"], tables["proposals"], tables["decisions"], tables["records"], tables["events"]
     ))
     closed = close_to_recall(tables, closure)
-    planned = cut_lineage(plan(found))
+    planned = written(plan(found))
     if failures is None:
         failures = planned.select(REQUEST, "component_key", F.lit("x").alias("error_code"), F.lit(True).alias("retryable")).filter(F.lit(False))
-    results = cut_lineage(component_results(planned, affected(closed, closure), failures, checked_at, basis, F.lit(1)))
+    results = written(component_results(planned, affected(closed, closure), failures, checked_at, basis, F.lit(1)))
     return apply_results(closed, closure, results), results, evidence(results)
 
 

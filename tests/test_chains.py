@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import chains, rules
@@ -104,3 +105,12 @@ def test_event_chain_rules(spark):
     }
     current = {r["memory_id"]: r["current_state"] for r in chains.memory_current(spark.createDataFrame(events, EVENT)).collect()}
     assert current["ok"] == "retracted" and current["stale"] == "expired"
+
+
+def test_seeds_that_lead_nowhere_else_need_no_pointer_rounds(spark, monkeypatch):
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)]
+    edges = spark.createDataFrame(path, "src string, dst string")
+    seeds = spark.createDataFrame([("g", f"n{i:03d}") for i in range(201)] + [("h", "n200"), ("h", "away")], "g string, node string")
+    monkeypatch.setattr(chains, "cut_lineage", lambda df: pytest.fail("the closed seeds were walked"))
+    got = {tuple(r) for r in chains.reachable(seeds, edges, "g").collect()}
+    assert got == {tuple(r) for r in seeds.collect()}

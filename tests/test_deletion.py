@@ -57,3 +57,23 @@ def test_allow_list_is_monotone(spark, sf):
     few = r.filter(eligible(bind.ntz(), ["personal"]))
     more = r.filter(eligible(bind.ntz(), ["personal", "restricted"]))
     assert few.join(more, "object_id", "left_anti").count() == 0 and more.count() > few.count()
+
+
+def test_fragments_without_content_are_read_and_tips_are_sent_to_the_bodies(spark, sf):
+    from memlake.plans.recall_queries import tip_sources
+    from memlake.sources import bind
+
+    read = bind.fragments(spark, sf, False)._jdf.queryExecution().toString()
+    assert "Python" not in read and "line_ends" not in read
+    joined = tip_sources(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
+
+
+def test_many_closure_digests_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    closure = spark.range(1000).select(F.lit("r").alias(deletion.REQUEST), F.lit("c").alias("component_type"), F.lit("o").alias("object_type"), F.col("id").cast("string").alias("object_id"))
+    found = closure.select(deletion.REQUEST, "object_type", "object_id")
+    once = deletion.plan_fingerprints(deletion.plan(found), closure).collect()
+    monkeypatch.setattr(deletion, "TASK_ROWS", 10)
+    dealt = deletion.plan_fingerprints(deletion.plan(found), closure.unionByName(closure))
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert dealt.collect() == once and once[0]["n_rows"] == 1010
