@@ -95,3 +95,19 @@ def test_single_recall_does_not_shuffle_rows(spark):
     hits = recall.recall(frame(spark, FILLER), "other words", as_of(), 3, "n", ["personal"])
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "hashpartitioning" not in plan
+
+
+def test_ids_of_the_cited_fragments_go_to_the_bodies(spark):
+    from memlake.operators import context
+
+    hits = spark.createDataFrame([("q", 1, "source_fragment", "f1"), ("q", 2, "memory_record", "m1"), ("r", 1, "source_fragment", "f1")], "query_id string, rank int, object_kind string, object_id string")
+    fragments = spark.createDataFrame([(f"f{i}", "s", 0, 1, "x", "d") for i in range(4)], "fragment_id string, source_id string, byte_start long, byte_end long, content string, content_digest string")
+    sources = spark.createDataFrame([("s", "l", 1, "t")], "source_id string, lineage_id string, version int, title string")
+    records = spark.createDataFrame([("m1", ["f2", "f3"])], "memory_id string, source_fragment_refs array<string>")
+    items = hits.selectExpr("query_id", "rank - 1 AS ordinal", "object_kind AS item_type", "object_id")
+    found, cited = recall.source_search(hits, fragments, sources), context.citations(items, records, fragments)
+    for df in (found, cited):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("BroadcastHashJoin" in x and "fragment_id" in x and "LeftSemi" in x for x in plan.splitlines())
+    assert sorted((r["query_id"], r["fragment_id"]) for r in found.collect()) == [("q", "f1"), ("r", "f1")]
+    assert sorted((r["query_id"], r["fragment_id"]) for r in cited.collect()) == [("q", "f1"), ("q", "f2"), ("q", "f3"), ("r", "f1")]
