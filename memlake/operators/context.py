@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.digest import exact_digest, nfc_digest
+from memlake.functions.skew import small_side
 from memlake.operators.rules import violations
 
 ITEM_TYPES = ["source_fragment", "memory_record", "conflict_notice", "constraint"]
@@ -31,6 +32,11 @@ def context_items(hits: DataFrame, rows: DataFrame, role: str = "current") -> Da
     )
 
 
+def _only(fragments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The fragments that ``wanted`` names; the ids go to the fragments, if they are not too many."""
+    return fragments.join(small_side(wanted.select("fragment_id").distinct()), "fragment_id", "left_semi")
+
+
 def citations(items: DataFrame, records: DataFrame, fragments: DataFrame) -> DataFrame:
     """One citation per item and evidence fragment: a fragment cites itself, a memory its sources."""
     own = items.filter("item_type = 'source_fragment'").select("query_id", "ordinal", F.lit(0).alias("evidence_no"), F.col("object_id").alias("fragment_id"))
@@ -39,7 +45,7 @@ def citations(items: DataFrame, records: DataFrame, fragments: DataFrame) -> Dat
         "query_id", "ordinal", "evidence_no", "fragment_id"
     )
     wanted = own.unionByName(of_memory)
-    cited = fragments.select("fragment_id", "source_id", "byte_start", "byte_end", F.col("content_digest").alias("fragment_digest"))
+    cited = _only(fragments, wanted).select("fragment_id", "source_id", "byte_start", "byte_end", F.col("content_digest").alias("fragment_digest"))
     return wanted.join(cited, "fragment_id").select(
         "query_id", "ordinal", "evidence_no",
         F.concat(F.lit("cit-"), "query_id", F.lit("-"), F.col("ordinal").cast("string"), F.lit("-"), F.col("evidence_no").cast("string")).alias("citation_id"),
@@ -128,7 +134,7 @@ def pack_rows(items: DataFrame, cited: DataFrame, tasks: DataFrame) -> DataFrame
 
 def pack_resolution(items: DataFrame, cited: DataFrame, records: DataFrame, fragments: DataFrame, sources: DataFrame) -> DataFrame:
     """Items and citations that do not resolve to active content exactly as cited."""
-    f = fragments.select(
+    f = _only(fragments, cited).select(
         "fragment_id", F.col("source_id").alias("f_source"), F.col("byte_start").alias("f_start"), F.col("byte_end").alias("f_end"),
         exact_digest(F.col("content")).alias("f_digest"), F.col("deletion_state").alias("f_state"),
     )
@@ -175,7 +181,8 @@ def pack_closure(packs: DataFrame, items: DataFrame, uses: DataFrame, cited: Dat
     key = F.concat(F.col("query_id"), F.lit("/"), F.col("ordinal").cast("string"))
     home = packs.select("query_id", F.col("namespace_id").alias("p_ns"))
     state = sources.select("source_id", F.col("deletion_state").alias("s_state"))
-    of_fragments = fragments.select("fragment_id", "source_id", "namespace_id", "deletion_state").join(state, "source_id", "left").select(
+    named = items.filter("item_type = 'source_fragment'").select(F.col("object_id").alias("fragment_id"))
+    of_fragments = _only(fragments, named).select("fragment_id", "source_id", "namespace_id", "deletion_state").join(state, "source_id", "left").select(
         F.lit("source_fragment").alias("item_type"), F.col("fragment_id").alias("object_id"), F.col("namespace_id").alias("o_ns"),
         (F.col("deletion_state").eqNullSafe("active") & F.col("s_state").eqNullSafe("active")).alias("open"),
     )
@@ -196,7 +203,7 @@ def pack_closure(packs: DataFrame, items: DataFrame, uses: DataFrame, cited: Dat
     own = (F.col("item_type") != "memory_record") & (F.col("object_id") == F.col("fragment_id"))
     accepted = own | ((F.col("item_type") != "source_fragment") & F.col("evident").isNotNull())
     of_uses = violations(used, "V22", "ContextItem", key, [("CitationMismatch", ~F.coalesce(accepted, F.lit(False)))])
-    place = fragments.select("fragment_id", F.col("namespace_id").alias("f_ns"))
+    place = _only(fragments, cited).select("fragment_id", F.col("namespace_id").alias("f_ns"))
     there = sources.select("source_id", F.col("namespace_id").alias("s_ns"))
     foreign = cited.join(place, "fragment_id", "left").join(there, "source_id", "left").join(home, "query_id", "left")
     of_citations = violations(foreign, "V22", "Citation", "citation_id", [

@@ -10,7 +10,7 @@ from memlake.plans.base_sql import cte, with_ctes
 from memlake.plans.recall_queries import batch_hits, recall_index, tip_fragments
 from memlake.plans.registry import query
 from memlake.plans.rule_queries import rule_sql
-from memlake.session import cut_lineage
+from memlake.session import release, written
 from memlake.sources import bind
 
 LIMITS = [256, 4096, 1_048_576]
@@ -32,15 +32,18 @@ ITEM = ["query_id", "ordinal", "item_type", "object_id", "content", "content_dig
 
 def parts(spark, path):
     """Items and citations of all queries; the hits are computed once."""
-    hits = cut_lineage(batch_hits(spark, path))
+    hits = written(batch_hits(spark, path))
     r = bind.records(spark, path)
-    items = cut_lineage(context.context_items(hits, recall_index(spark, path).objects))
-    return items, context.citations(items, r, bind.fragments(spark, path))
+    items = written(context.context_items(hits, recall_index(spark, path).objects))
+    release(spark)
+    cited = written(context.citations(items, r, bind.fragments(spark, path)))
+    release(spark)
+    return items, cited
 
 
 @query("q8_context_items", with_ctes(["items"], f"SELECT {', '.join(ITEM)} FROM items"))
 def q8_context_items(spark, path):
-    hits = cut_lineage(batch_hits(spark, path))
+    hits = written(batch_hits(spark, path))
     return context.context_items(hits, recall_index(spark, path).objects).select(*ITEM)
 
 
@@ -67,7 +70,7 @@ def q8_context_packs(spark, path):
 SELECT query_id, count(*) FILTER (r <= 256) AS allowed, count(*) FILTER (r > 256) AS truncated, CAST(coalesce(max(r) FILTER (r <= 256), 0) AS BIGINT) AS budget_used
 FROM (SELECT query_id, sum(rendered_bytes) OVER (PARTITION BY query_id ORDER BY ordinal) AS r FROM items) GROUP BY query_id"""))
 def q10_budget_prefix(spark, path):
-    hits = cut_lineage(batch_hits(spark, path))
+    hits = written(batch_hits(spark, path))
     return context.fit_budget(context.context_items(hits, recall_index(spark, path).objects), 256)
 
 
