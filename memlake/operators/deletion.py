@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.digest import row_fingerprint, set_digest
 from memlake.functions.ranking import range_rank
+from memlake.functions.skew import small_side
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
 from memlake.session import written
@@ -167,7 +168,7 @@ def close_to_recall(tables: dict[str, DataFrame], closure: DataFrame) -> dict[st
 
 def affected(tables: dict[str, DataFrame], closure: DataFrame) -> DataFrame:
     """(request, component_type, n): closure rows that still exist for the component."""
-    body = tables["sources"].filter("content is not null")
+    body = tables["sources"].filter("content is not null").select("source_id")
 
     def have(df: DataFrame, component: str, key: str) -> DataFrame:
         return df.select(F.lit(component).alias("component_type"), F.col(key).alias("object_id"))
@@ -187,6 +188,16 @@ def affected(tables: dict[str, DataFrame], closure: DataFrame) -> DataFrame:
     )
 
 
+def rows_left(before: dict[str, DataFrame], after: dict[str, DataFrame], bodies: bool) -> dict[str, DataFrame]:
+    """The tables of ``affected`` after a step, whose rows alone count.
+
+    Closing, redacting and retaining leave every row of a table where it is; those tables are
+    taken as they were, so no row is joined to a state that is not read. ``bodies``: the step may empty bodies.
+    """
+    return {**before, "recall_rows": after["recall_rows"], "fragments": after["fragments"] if bodies else before["fragments"],
+            "sources": after["sources"] if bodies else before["sources"]}
+
+
 def component_results(
     planned: DataFrame, touched: DataFrame, failures: DataFrame, checked_at: Column, basis: str, attempt: Column
 ) -> DataFrame:
@@ -218,21 +229,20 @@ def apply_results(tables: dict[str, DataFrame], closure: DataFrame, results: Dat
     Every table is joined once with the marks of its rows. The audit sets the final
     state: failed when any component failed, otherwise deleted; never active again.
     """
-    per = results.groupBy(REQUEST).agg(
-        F.when(F.bool_and(F.col("status") == "succeeded"), "deleted").otherwise("failed").alias("final_state"),
-        F.bool_or((F.col("component_type") == "minimal_audit") & (F.col("status") == "succeeded")).alias("audited"),
-    )
-    done = results.filter("status = 'succeeded'").select(REQUEST, "component_type")
-    carried = closure.join(done, [REQUEST, "component_type"], "left_semi")
+    succeeded = F.col("status") == "succeeded"
+    audited = F.bool_or((F.col("component_type") == "minimal_audit") & succeeded)
+    # one row per request goes to the closure, if there are not too many
+    per = small_side(results.groupBy(REQUEST).agg(
+        F.when(audited, F.when(F.bool_and(succeeded), "deleted").otherwise("failed")).alias("_final"),
+        F.collect_set(F.when(succeeded, F.col("component_type"))).alias("_done"),
+    ))
+    rows = closure.join(per, REQUEST).withColumn("_done", F.array_contains("_done", F.col("component_type")))
+    carried = rows.filter("_done")
 
     def marks(component: str, key: str) -> DataFrame:
-        touched = carried.filter(F.col("component_type") == component).select(F.col("object_id").alias(key), F.lit(True).alias("_done"))
-        final = closure.filter(F.col("component_type") == component).join(per.filter("audited"), REQUEST).select(
-            F.col("object_id").alias(key), F.col("final_state").alias("_final")
+        return rows.filter(F.col("component_type") == component).groupBy(F.col("object_id").alias(key)).agg(
+            F.bool_or("_done").alias("_done"), F.max("_final").alias("_final")
         )
-        return touched.withColumn("_final", F.lit(None).cast("string")).unionByName(
-            final.withColumn("_done", F.lit(False))
-        ).groupBy(key).agg(F.bool_or("_done").alias("_done"), F.max("_final").alias("_final"))
 
     final_state = F.coalesce("_final", "deletion_state")
     out = dict(tables)
@@ -264,8 +274,8 @@ def apply_results(tables: dict[str, DataFrame], closure: DataFrame, results: Dat
         "reason_text", F.when(F.col("_in"), F.lit(None)).otherwise(F.col("reason_text"))
     ).drop("_in")
     out["recall_rows"] = tables["recall_rows"].join(_members(carried, "full_text_index", "object_id"), "object_id", "left_anti")
-    audited = _members(carried, "minimal_audit", "source_id")
-    lineages = tables["sources"].join(audited, "source_id", "left_semi").select("namespace_id", "lineage_id").distinct()
+    named = _members(carried, "minimal_audit", "source_id")
+    lineages = tables["sources"].join(named, "source_id", "left_semi").select("namespace_id", "lineage_id").distinct()
     if "audit" in tables:
         whole = tables["sources"].select("source_id", "namespace_id", "lineage_id").join(lineages, ["namespace_id", "lineage_id"], "left_semi")
         out["audit"] = tables["audit"].join(whole.select("source_id"), "source_id", "left_anti")
@@ -397,7 +407,7 @@ def delete_lineages(
     planned = written(plan(found))
     if failures is None:
         failures = planned.select(REQUEST, "component_key", F.lit("x").alias("error_code"), F.lit(True).alias("retryable")).filter(F.lit(False))
-    results = written(component_results(planned, affected(closed, closure), failures, checked_at, basis, F.lit(1)))
+    results = written(component_results(planned, affected(rows_left(tables, closed, False), closure), failures, checked_at, basis, F.lit(1)))
     return apply_results(closed, closure, results), results, evidence(results)
 
 

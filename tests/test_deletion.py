@@ -77,3 +77,15 @@ def test_many_closure_digests_are_dealt_to_tasks_of_bounded_size(spark, monkeypa
     dealt = deletion.plan_fingerprints(deletion.plan(found), closure.unionByName(closure))
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
     assert dealt.collect() == once and once[0]["n_rows"] == 1010
+
+
+def test_counts_of_rows_left_are_those_of_the_whole_tables(spark, sf):
+    _, closure, closed, _, results = dq.first_attempt(spark, sf)
+    before, after = dq.tables(spark, sf), deletion.apply_results(closed, closure, results)
+    count = lambda tables: sorted(map(tuple, deletion.affected(tables, closure).collect()))
+    for whole, bodies in ((closed, False), (after, True)):
+        left = deletion.rows_left(before, whole, bodies)
+        assert left["records"] is before["records"] and left["proposals"] is before["proposals"]
+        assert count(left) == count(whole)
+    per_request = after["records"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in per_request and "collect_set" not in per_request
