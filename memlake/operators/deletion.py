@@ -5,6 +5,8 @@ Everything works on many requests at once; a request id is a grouping column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from memlake.functions.ranking import range_rank
 from memlake.functions.skew import small_side
 from memlake.operators.chains import reachable
 from memlake.operators.rules import violations
-from memlake.session import written
+from memlake.session import release, written
 
 # fixed values: component key, component type, required action, in plan order
 PROFILE = [
@@ -117,7 +119,8 @@ def execution_closure(
     origin = records.filter("deletion_state = 'active'").select("memory_id", F.col("origin_proposal_id").alias("proposal_id")).join(mem, "memory_id")
     refs = proposals.filter("deletion_state = 'active'").select("proposal_id", F.explode("source_fragment_refs").alias("fragment_id"))
     using = refs.join(frag, "fragment_id")
-    prop = origin.select(REQUEST, "proposal_id").unionByName(using.select(REQUEST, "proposal_id")).distinct()
+    # the proposals and their decisions read them: made twice, they were most of the plan
+    prop = written(origin.select(REQUEST, "proposal_id").unionByName(using.select(REQUEST, "proposal_id")).distinct())
     dec = decisions.select("decision_id", "proposal_id").join(prop, "proposal_id").select(REQUEST, "decision_id")
     evt = events.select("event_id", "memory_id").join(mem, "memory_id").select(REQUEST, "event_id")
     req = found.select(REQUEST).distinct()
@@ -167,25 +170,29 @@ def close_to_recall(tables: dict[str, DataFrame], closure: DataFrame) -> dict[st
 
 
 def affected(tables: dict[str, DataFrame], closure: DataFrame) -> DataFrame:
-    """(request, component_type, n): closure rows that still exist for the component."""
+    """(request, component_type, n): closure rows that still exist for the component.
+
+    Related components are counted and written together, the others after them, so the driver
+    never holds the plan of all; the counts are at most one row per request and component.
+    """
     body = tables["sources"].filter("content is not null").select("source_id")
 
     def have(df: DataFrame, component: str, key: str) -> DataFrame:
         return df.select(F.lit(component).alias("component_type"), F.col(key).alias("object_id"))
 
-    existing = (
-        have(body, "source_body", "source_id")
-        .unionByName(have(tables["sources"], "source_metadata", "source_id"))
-        .unionByName(have(tables["fragments"], "source_fragment", "fragment_id"))
-        .unionByName(have(tables["proposals"], "memory_proposal", "proposal_id"))
-        .unionByName(have(tables["decisions"], "memory_decision", "decision_id"))
-        .unionByName(have(tables["records"], "memory_record", "memory_id"))
-        .unionByName(have(tables["events"], "memory_state_event", "event_id"))
-        .unionByName(have(tables["recall_rows"], "full_text_index", "object_id"))
-    )
-    return closure.join(existing, ["component_type", "object_id"]).groupBy(REQUEST, "component_type").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    existing = [
+        {"source_body": (body, "source_id"), "source_metadata": (tables["sources"], "source_id")},
+        {"source_fragment": (tables["fragments"], "fragment_id"), "full_text_index": (tables["recall_rows"], "object_id")},
+        {"memory_proposal": (tables["proposals"], "proposal_id"), "memory_decision": (tables["decisions"], "decision_id")},
+        {"memory_record": (tables["records"], "memory_id"), "memory_state_event": (tables["events"], "event_id")},
+    ]
+    counts = []
+    for group in existing:
+        rows = reduce(DataFrame.unionByName, [have(df, component, key) for component, (df, key) in group.items()])
+        touched = closure.filter(F.col("component_type").isin(*group)).join(rows, ["component_type", "object_id"])
+        counts.append(written(touched.groupBy(REQUEST, "component_type").agg(F.count(F.lit(1)).alias("n"))))
+        release(closure.sparkSession)
+    return reduce(DataFrame.unionByName, counts)
 
 
 def rows_left(before: dict[str, DataFrame], after: dict[str, DataFrame], bodies: bool) -> dict[str, DataFrame]:

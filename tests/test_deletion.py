@@ -89,3 +89,27 @@ def test_counts_of_rows_left_are_those_of_the_whole_tables(spark, sf):
         assert count(left) == count(whole)
     per_request = after["records"]._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in per_request and "collect_set" not in per_request
+
+
+def test_recall_rows_of_a_deletion_are_ids_from_the_stored_tables(spark, sf):
+    from memlake.plans.recall_queries import rows
+
+    ids = dq.tables(spark, sf)["recall_rows"]
+    key = ["object_kind", "object_id"]
+    assert sorted(map(tuple, ids.select(*key).collect())) == sorted(map(tuple, rows(spark, sf).select(*key).collect()))
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "ython" not in plan
+
+
+def test_the_closure_plan_makes_its_proposals_once(spark, sf):
+    found = dq.found_targets(spark, sf)
+    plan = dq.closure_of(spark, sf, found)._jdf.queryExecution().analyzed().toString()
+    # the references of proposals to fragments are exploded where the proposals are made, not in the plan of the closure
+    assert "explode(source_fragment_refs" not in plan
+
+
+def test_counts_are_written_group_by_group_without_components_that_have_no_rows(spark, sf):
+    _, closure, closed, _, _ = dq.first_attempt(spark, sf)
+    counts = deletion.affected(deletion.rows_left(dq.tables(spark, sf), closed, False), closure)
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0] for r in counts.select("component_type").distinct().collect()}.isdisjoint({"minimal_audit", "context_cache"})
