@@ -33,6 +33,8 @@ PROFILE = [
 OUTCOME = {"delete": "deleted", "redact": "redacted", "retain_minimal": "retained_minimal"}
 MARKER = "[redacted:local-deletion]"
 FAILURE_CODE = "deletion-component-failed"
+#: One bit per component type, for what one attempt has done of a request.
+BIT = {t: 1 << i for i, (_, t, _) in enumerate(PROFILE)}
 REQUEST = "delete_request_id"
 #: So many digests of closure rows one task holds at once.
 TASK_ROWS = 250_000
@@ -238,12 +240,13 @@ def apply_results(tables: dict[str, DataFrame], closure: DataFrame, results: Dat
     """
     succeeded = F.col("status") == "succeeded"
     audited = F.bool_or((F.col("component_type") == "minimal_audit") & succeeded)
-    # one row per request goes to the closure, if there are not too many
+    # one short row per request goes to the closure, if there are not too many: the driver holds them all
+    bit = _mapped(BIT, F.col("component_type"))
     per = small_side(results.groupBy(REQUEST).agg(
         F.when(audited, F.when(F.bool_and(succeeded), "deleted").otherwise("failed")).alias("_final"),
-        F.collect_set(F.when(succeeded, F.col("component_type"))).alias("_done"),
+        F.bit_or(F.when(succeeded, bit).otherwise(0)).alias("_done"),
     ))
-    rows = closure.join(per, REQUEST).withColumn("_done", F.array_contains("_done", F.col("component_type")))
+    rows = closure.join(per, REQUEST).withColumn("_done", F.col("_done").bitwiseAND(bit) != 0)
     carried = rows.filter("_done")
 
     def marks(component: str, key: str) -> DataFrame:

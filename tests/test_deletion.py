@@ -108,6 +108,33 @@ def test_the_closure_plan_makes_its_proposals_once(spark, sf):
     assert "explode(source_fragment_refs" not in plan
 
 
+def test_one_attempt_is_a_short_row_per_request_in_the_driver(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(deletion, "small_side", lambda df: sent.append(df) or df)
+    types = [t for _, t, _ in deletion.PROFILE]
+    results = spark.createDataFrame(
+        [(r, t, "failed" if (r, t) in {("a", "memory_record"), ("b", "minimal_audit")} else "succeeded") for r in "ab" for t in types],
+        "delete_request_id string, component_type string, status string",
+    )
+    closure = spark.createDataFrame(
+        [("a", "memory_record", "m1"), ("a", "memory_proposal", "p1"), ("b", "memory_record", "m2"), ("b", "memory_proposal", "p2"), ("c", "memory_record", "m3")],
+        "delete_request_id string, component_type string, object_id string",
+    )
+    state = "string, content string, content_digest string, source_fragment_refs array<string>, deletion_state string"
+    source = "source_id string, namespace_id string, lineage_id string, content string, title string, origin_ref string, deletion_state string"
+    tables = {
+        "records": spark.createDataFrame([(f"m{i}", "x", "d", ["f"], "pending") for i in (1, 2, 3)], f"memory_id {state}"),
+        "proposals": spark.createDataFrame([(f"p{i}", "x", "d", ["f"], "pending") for i in (1, 2)], f"proposal_id {state}"),
+        "sources": spark.createDataFrame([], source), "fragments": spark.createDataFrame([], "fragment_id string"),
+        "decisions": spark.createDataFrame([], "decision_id string, reason_text string"), "recall_rows": spark.createDataFrame([], "object_id string"),
+    }
+    after = deletion.apply_results(tables, closure, results)
+    got = {r["memory_id"]: (r["content"], r["deletion_state"]) for r in after["records"].collect()}
+    assert got == {"m1": ("x", "failed"), "m2": (deletion.MARKER, "pending"), "m3": ("x", "pending")}
+    assert {r["proposal_id"]: (r["content"], r["deletion_state"]) for r in after["proposals"].collect()} == {"p1": (deletion.MARKER, "failed"), "p2": (deletion.MARKER, "pending")}
+    assert all(kind in ("string", "int", "boolean") for _, kind in sent[0].dtypes)
+
+
 def test_counts_are_written_group_by_group_without_components_that_have_no_rows(spark, sf):
     _, closure, closed, _, _ = dq.first_attempt(spark, sf)
     counts = deletion.affected(deletion.rows_left(dq.tables(spark, sf), closed, False), closure)
