@@ -383,7 +383,8 @@ def plan_fingerprints(planned: DataFrame, closure: DataFrame) -> DataFrame:
 
     The closure is written and counted first: the tasks are as many as its rows ask for.
     """
-    closure = written(closure)
+    closure, planned = written(closure), written(planned)
+    release(closure.sparkSession)
     parts = max(int(closure.sparkSession.conf.get("spark.sql.shuffle.partitions")), closure.count() // TASK_ROWS)
     rows = planned.select(REQUEST, row_fingerprint(F.lit("plan").alias("t"), "component_key", "component_type", "required_action", "target_count", "target_digest").alias("_m"))
     rows = rows.unionByName(closure.select(REQUEST, row_fingerprint(F.lit("closure").alias("t"), "component_type", "object_type", "object_id").alias("_m")))

@@ -140,3 +140,9 @@ def test_counts_are_written_group_by_group_without_components_that_have_no_rows(
     counts = deletion.affected(deletion.rows_left(dq.tables(spark, sf), closed, False), closure)
     assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert {r[0] for r in counts.select("component_type").distinct().collect()}.isdisjoint({"minimal_audit", "context_cache"})
+
+
+def test_fingerprints_are_made_of_written_rows(spark, monkeypatch):
+    closure = spark.range(9).select(F.lit("r").alias(deletion.REQUEST), F.lit("c").alias("component_type"), F.lit("o").alias("object_type"), F.col("id").cast("string").alias("object_id"))
+    plan = deletion.plan_fingerprints(deletion.plan(closure), closure)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Range" not in plan
